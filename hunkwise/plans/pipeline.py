@@ -1,0 +1,30 @@
+"""End-to-end compositions of the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from hunkwise.operators import diffs as diff_ops, enrich, ingest, results as reads, scoring
+
+
+def score_snippets(snippets: DataFrame, weights: DataFrame) -> DataFrame:
+    """Snippets to result rows with a weights table; narrow up to the dictionary bound."""
+    return scoring.as_results(scoring.with_label(scoring.linear_logits(enrich.scorable(snippets), weights)))
+
+
+def deliveries_to_results(
+    deliveries: DataFrame, diffs: DataFrame, weights: DataFrame, secret: str, timestamp: int
+) -> DataFrame:
+    """Webhook deliveries and the diffs of their commits to scored results."""
+    snippets = diff_ops.function_snippets(diffs, timestamp)
+    return score_snippets(enrich.enrich(ingest.placeholders(deliveries, secret), snippets), weights)
+
+
+def repo_risk(diffs: DataFrame, weights: DataFrame, timestamp: int) -> DataFrame:
+    """Share of vulnerable functions per repository: diff to snippets to scores to totals."""
+    scored = score_snippets(diff_ops.function_snippets(diffs, timestamp), weights)
+    return reads.store_stats(scored, "repo")
+
+
+def message_columns(results: DataFrame) -> DataFrame:
+    return results.withColumn("confidence", F.round(F.col("confidence").cast("double"), 5))
