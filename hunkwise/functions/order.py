@@ -17,4 +17,5 @@ def order_bin(value: Column) -> Column:
     """
     x = value.cast("double")
     size = F.floor(F.ln(F.abs(x)) * BINS_PER_E_FOLD) + _OFFSET
-    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("int")
+    # Never NULL, so that joins on the bin add no filters and shuffles can be reused.
+    return F.coalesce(F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("int"), F.lit(0))

@@ -9,8 +9,8 @@ from hunkwise.schemas import SNIPPET_COLUMNS
 
 
 def diff_files(diffs: DataFrame) -> DataFrame:
-    """One row per file part that names a target path."""
-    parts = diffs.filter(F.col("diff") != "").select(
+    """One row per file part that names a target path; an empty diff has none."""
+    parts = diffs.select(
         "repo", "commit_sha", F.posexplode(ud.file_chunks(F.col("diff"))).alias("file_seq", "chunk")
     )
     return parts.withColumn("file_path", ud.chunk_path(F.col("chunk"))).filter(F.col("file_path") != "")

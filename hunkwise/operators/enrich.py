@@ -14,6 +14,10 @@ from hunkwise.schemas import SNIPPET_COLUMNS
 FILE_KEY = ["repo", "commit_sha", "file_path"]
 COMMIT_KEY = ["repo", "commit_sha"]
 
+# Join column of a placeholder; no path starts with a line break.
+_WANTED = "wanted"
+_WHOLE_COMMIT = "\n"
+
 # A pushed file of this name has no code suffix, so it never becomes a placeholder.
 _PR_MARKER = r"\APR#-?\d+\z"
 
@@ -43,15 +47,39 @@ def enrich_pull_requests(placeholders: DataFrame, snippets: DataFrame) -> DataFr
     return snippets.drop("timestamp").join(announced, COMMIT_KEY).select(SNIPPET_COLUMNS)
 
 
+def _announced(placeholders: DataFrame) -> DataFrame:
+    """Placeholders with the path they ask for; a pull request asks for a whole commit."""
+    marker = F.col("file_path").rlike(_PR_MARKER)
+    return placeholders.withColumn(_WANTED, F.when(marker, _WHOLE_COMMIT).otherwise(F.col("file_path")))
+
+
+def _offered(rows: DataFrame) -> DataFrame:
+    """Each row under its whole commit and, for a code file, under its own path."""
+    path = F.col("file_path")
+    keys = F.when(text.is_code_file(path), F.array(F.lit(_WHOLE_COMMIT), path)).otherwise(
+        F.array(F.lit(_WHOLE_COMMIT))
+    )
+    return rows.withColumn(_WANTED, F.explode(keys))
+
+
 def enrich(placeholders: DataFrame, snippets: DataFrame) -> DataFrame:
-    return enrich_files(placeholders, snippets).unionByName(enrich_pull_requests(placeholders, snippets))
+    """Snippets of all announced files and pull requests, in one join.
+
+    Both inputs are read once: a snippet is offered under two keys rather than
+    joined twice.
+    """
+    announced = _announced(placeholders).select(*COMMIT_KEY, _WANTED, "timestamp")
+    return _offered(snippets.drop("timestamp")).join(announced, [*COMMIT_KEY, _WANTED]).select(SNIPPET_COLUMNS)
 
 
 def unenriched(placeholders: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Placeholders that no snippet matches."""
-    files = is_file_placeholder(placeholders).join(snippets.select(FILE_KEY), FILE_KEY, "left_anti")
-    requests = is_pull_request_marker(placeholders).join(snippets.select(COMMIT_KEY), COMMIT_KEY, "left_anti")
-    return files.unionByName(requests)
+    """Placeholders that no snippet matches.
+
+    Only the keys of ``snippets`` count. Every hunk gives a snippet, so the rows
+    of ``diff_hunks`` serve as well and save the cut into functions.
+    """
+    offered = _offered(snippets.select(FILE_KEY)).select(*COMMIT_KEY, _WANTED)
+    return _announced(placeholders).join(offered, [*COMMIT_KEY, _WANTED], "left_anti").select(placeholders.columns)
 
 
 def scorable(snippets: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def floor_index(q: float) -> Callable[[Column], Column]:
 
 def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(group, value, n), the mergeable form of a latency series."""
-    return rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    known = rows.dropna(subset=[*by, value])
+    return known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def select_ranks(

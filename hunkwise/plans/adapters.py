@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hunkwise.functions.signature import hmac_sha256_hex
 from hunkwise.functions.text import TOKEN_PATTERN, WHITE_SPACE
+from hunkwise.sources.tables import read_spread
 
 SECRET = "fixture-secret"
 FIRST_DELIVERY_MS = 1_700_000_000_000
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, spread over the cores when their file alone would not be."""
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def epoch_ms(ts: Column) -> Column:
     """Epoch milliseconds of a zone-less timestamp, whatever the session time zone."""
     day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -100,6 +106,13 @@ _LINE_PATH = (
     "concat('src/m', l_suppkey % 10, '/p', l_partkey, case l_linenumber % 5 when 0 then '.c' "
     "when 1 then '.PY' when 2 then '.md' when 3 then '.tsx' else '.yaml' end)"
 )
+# File k of an order: its path and whether the commit added, modified or removed it.
+_N_FILES = "o_orderkey % 9 + 1"
+_FILE_PATH = (
+    "concat('src/m', (o_orderkey * 7 + k) % 10, '/p', (o_orderkey * 13 + k * 31) % 2000, "
+    "case (o_orderkey + k) % 5 when 0 then '.c' when 1 then '.PY' when 2 then '.md' when 3 then '.tsx' else '.yaml' end)"
+)
+_FILE_KIND = "case (o_orderkey * 3 + k * k) % 7 % 3 when 0 then 'added' when 1 then 'modified' else 'removed' end"
 _EVENT_TYPE = (
     "case when o_orderkey % 10 < 6 then 'push' when o_orderkey % 10 < 8 then 'pull_request' "
     "when o_orderkey % 10 = 8 then 'ping' else 'issues' end"
@@ -119,21 +132,14 @@ _BODY = f"""concat(case {_EVENT_TYPE}
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One delivery per order; the order's lines are its changed files."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey"), F.col("l_returnflag"), F.concat(F.lit('"'), F.expr(_LINE_PATH), F.lit('"')).alias("path")
-    )
+    """One delivery per order, with one to nine changed files."""
 
-    def paths(flag: str) -> Column:
-        found = F.collect_list(F.when(F.col("l_returnflag") == flag, F.col("path")))
-        return F.array_join(F.array_sort(found), ",")
+    def paths(kind: str) -> str:
+        chosen = f"filter(sequence(1, {_N_FILES}), k -> {_FILE_KIND} = '{kind}')"
+        return f"array_join(transform({chosen}, k -> concat('\"', {_FILE_PATH}, '\"')), ',') as {kind}"
 
-    files = lines.groupBy("l_orderkey").agg(
-        paths("A").alias("added"), paths("R").alias("removed"), paths("N").alias("modified")
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    joined = orders.join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(
-        "", ["added", "removed", "modified"]
+    joined = read_spread(spark, f"{sf_dir}/orders.parquet", "o_orderkey").selectExpr(
+        "o_orderkey", paths("added"), paths("removed"), paths("modified")
     )
     body = _break_body(F.expr(_BODY))
     rows = joined.select(
@@ -190,7 +196,7 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         key, "\n",
     ]
     diff = F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in pieces))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(F.lit("org/repo"), (doc % 20).cast("string")).alias("repo"),
         F.md5(F.concat(F.lit("d"), key)).alias("commit_sha"),
         diff.alias("diff"),
@@ -216,7 +222,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw dataset rows; every fifth one is a test row."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     return rows.select(
         "doc_id",
         F.col("doc_id").alias("id"),
@@ -276,20 +282,23 @@ CTES = {
         "SELECT * FROM a_results UNION ALL SELECT * REPLACE (timestamp + 1 AS timestamp, "
         "cast(1 - cast(confidence AS double) AS float) AS confidence) FROM a_results WHERE event_id % 5 = 0"
     ),
-    "a_files": f"SELECT l_orderkey, l_returnflag, {_LINE_PATH} AS path FROM lineitem",
+    "a_paths": f"SELECT {_LINE_PATH} AS path FROM lineitem",
+    "a_files": (
+        f"SELECT o_orderkey, k, {_FILE_PATH} AS path, {_FILE_KIND} AS kind "
+        f"FROM (SELECT o_orderkey, unnest(range(1, {_N_FILES} + 1)) AS k FROM orders)"
+    ),
     "a_order_files": (
-        "SELECT l_orderkey, "
+        "SELECT o_orderkey, "
         + ", ".join(
-            f"coalesce(string_agg('\"' || path || '\"', ',' ORDER BY path) FILTER (WHERE l_returnflag = '{flag}'), '') AS {name}"
-            for flag, name in (("A", "added"), ("R", "removed"), ("N", "modified"))
+            f"coalesce(string_agg('\"' || path || '\"', ',' ORDER BY k) FILTER (WHERE kind = '{kind}'), '') AS {kind}"
+            for kind in ("added", "removed", "modified")
         )
-        + " FROM a_files GROUP BY l_orderkey"
+        + " FROM a_files GROUP BY o_orderkey"
     ),
     "a_bodies": (
         f"SELECT o_orderkey, {_EVENT_TYPE} AS event_type, "
         f"CASE WHEN o_orderkey % 53 = 0 THEN substr({_BODY}, 2) ELSE {_BODY} END AS body "
-        "FROM (SELECT o_orderkey, coalesce(added, '') AS added, coalesce(removed, '') AS removed, "
-        "coalesce(modified, '') AS modified FROM orders LEFT JOIN a_order_files ON o_orderkey = l_orderkey)"
+        "FROM a_order_files"
     ),
     "a_signatures": (
         "SELECT *, CASE WHEN o_orderkey % 31 = 0 THEN 'sha256=' || repeat('0', 64) WHEN o_orderkey % 37 = 0 THEN NULL "
@@ -306,11 +315,11 @@ CTES = {
     "a_push_files": (
         f"SELECT o.o_orderkey, {_REPO.replace('o_orderkey', 'o.o_orderkey')} AS repo, f.commit_sha, f.path AS file_path "
         "FROM (SELECT * FROM a_outcomes WHERE outcome = 'ok' AND event_type = 'push') o JOIN ("
-        "SELECT l_orderkey AS k, md5(concat('d', l_orderkey)) AS commit_sha, path FROM a_files "
-        "WHERE l_returnflag IN ('A', 'N') AND (path LIKE '%.c' OR path LIKE '%.PY' OR path LIKE '%.tsx') "
+        "SELECT o_orderkey AS owner, md5(concat('d', o_orderkey)) AS commit_sha, path FROM a_files "
+        "WHERE kind <> 'removed' AND (path LIKE '%.c' OR path LIKE '%.PY' OR path LIKE '%.tsx') "
         "UNION ALL SELECT o_orderkey, md5(concat('d', o_orderkey)), concat('src/d', o_orderkey, '.c') FROM orders "
         "UNION ALL SELECT o_orderkey, md5(concat('e', o_orderkey)), concat('lib/q', o_orderkey, '.Go') FROM orders "
-        "WHERE o_orderkey % 4 = 0) f ON f.k = o.o_orderkey"
+        "WHERE o_orderkey % 4 = 0) f ON f.owner = o.o_orderkey"
     ),
     "a_pr_markers": (
         f"SELECT o_orderkey, {_REPO} AS repo, {_SHA} AS commit_sha, concat('PR#', o_orderkey % 1000) AS file_path "

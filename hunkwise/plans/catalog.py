@@ -197,17 +197,14 @@ def pull_request_markers(spark, sf_dir):
     "a_pr_markers",
 )
 def placeholders_all(spark, sf_dir):
-    deliveries = a.deliveries(spark, sf_dir)
-    return ingest.push_placeholders(deliveries, a.SECRET).unionByName(
-        ingest.pull_request_placeholders(deliveries, a.SECRET)
-    )
+    return ingest.placeholders(a.deliveries(spark, sf_dir), a.SECRET)
 
 
 @query(
     "code_file_filter",
-    "SELECT path AS file_path, count(*) AS files FROM a_files "
+    "SELECT path AS file_path, count(*) AS files FROM a_paths "
     r"WHERE regexp_matches(lower(path), '\.(c|cpp|cc|h|hpp|go|rs|py|js|ts|jsx|tsx|java)$') GROUP BY 1",
-    "a_files",
+    "a_paths",
 )
 def code_file_filter(spark, sf_dir):
     paths = a.table(spark, sf_dir, "lineitem").select(F.expr(a._LINE_PATH).alias("file_path"))
@@ -331,7 +328,8 @@ def enriched_pr_snippets(spark, sf_dir):
     "a_pr_markers",
 )
 def unenriched_placeholders(spark, sf_dir):
-    missing = enrich.unenriched(placeholders_all(spark, sf_dir), _snippets(spark, sf_dir))
+    hunks = diff_ops.diff_hunks(a.diffs(spark, sf_dir))
+    missing = enrich.unenriched(placeholders_all(spark, sf_dir), hunks)
     return missing.select("repo", "commit_sha", "file_path")
 
 
@@ -363,7 +361,7 @@ def token_vocab(spark, sf_dir):
     "FROM documents LEFT JOIN ids USING (doc_id)",
 )
 def encode_pad(spark, sf_dir):
-    texts = a.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("code"))
+    texts = a.documents(spark, sf_dir).select("doc_id", F.col("text").alias("code"))
     encoded = scoring.encode(texts, scoring.token_vocabulary(texts, a.VOCABULARY_TERMS))
     return encoded.select(
         "doc_id",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from hunkwise.functions.text import trim_white_space
 from hunkwise.schemas import SNIPPET, SNIPPET_COLUMNS
 
 # Topic, consumer group and message compression.
@@ -25,28 +26,29 @@ def encode(snippets: DataFrame) -> DataFrame:
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
+    """Each message with its fields and the reason it may be malformed.
+
+    The fields come out of a generator: a filter on them stays above it, so every
+    message is parsed once.
+    """
     schema = T.StructType([*SNIPPET.fields, T.StructField(_CORRUPT, T.StringType())])
     value = F.col("value").cast("string")
-    return messages.select(
-        value.alias("value"),
-        F.from_json(value, schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("snippet"),
-    )
+    parsed = F.from_json(value, schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    return messages.select(value.alias("value"), F.inline_outer(F.array(parsed)))
 
 
 def _malformed() -> Column:
-    return F.col("snippet").isNull() | F.col(f"snippet.{_CORRUPT}").isNotNull()
+    blank = F.coalesce(trim_white_space(F.col("value")) == "", F.lit(True))
+    return blank | F.col(_CORRUPT).isNotNull()
 
 
 def decode(messages: DataFrame) -> DataFrame:
     """Snippets of the well-formed messages; a missing field becomes its zero value."""
-    good = _parsed(messages).filter(~_malformed())
-    return good.select(
-        *(
-            F.coalesce(
-                F.col(f"snippet.{f.name}"), F.lit("" if f.dataType == T.StringType() else 0).cast(f.dataType)
-            ).alias(f.name)
-            for f in SNIPPET.fields
-        )
+    zero = {T.StringType(): "", T.IntegerType(): 0, T.LongType(): 0}
+    return (
+        _parsed(messages)
+        .filter(~_malformed())
+        .select(*(F.coalesce(F.col(f.name), F.lit(zero[f.dataType])).cast(f.dataType).alias(f.name) for f in SNIPPET.fields))
     )
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkwise.schemas import DELIVERY, DIFF, HISTORY, RESULT, RESULT_COLUMNS
+from hunkwise.schemas import DELIVERY, DIFF, HISTORY, RESULT_COLUMNS
+
+# What Spark reads as one split by default.
+SPLIT_BYTES = 128 << 20
 
 
 def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +26,19 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DIFF).parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A Parquet table for CPU-bound work.
+
+    A table too small to give every core a split is repartitioned by ``keys``, a
+    shuffle of little data; a larger one is read as it lies.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    stored = sizes.agg(F.sum("length")).first()[0] or 0
+    return table.repartition(cores, *keys) if stored < cores * SPLIT_BYTES else table
+
+
 def with_day(results: DataFrame) -> DataFrame:
     """UTC day of the result, the partition column."""
     days = F.floor(F.col("timestamp") / 86_400_000).cast("int")
