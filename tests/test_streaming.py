@@ -1,0 +1,185 @@
+import json
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from hunkwise.operators import latency, results as reads, scoring
+from hunkwise.schemas import RESULT, SNIPPET
+from hunkwise.session import run_dir, shared_dir
+from hunkwise.sources import bus
+from hunkwise.streaming import feed, live
+
+WEIGHTS = [("bad", 0.0, 2.0), ("good", 2.0, 0.0)]
+
+
+def message(i, code="bad", **fields):
+    row = dict(code=f"{code} v{i}", repo="r", commit_sha="abcdef1234", file_path=f"f{i}.c", start_line=i, end_line=i, timestamp=i)
+    return json.dumps({**row, **fields})
+
+
+def publish(spark, path, *values):
+    bus.publish_files(spark.createDataFrame([(v,) for v in values], bus.MESSAGE).coalesce(1), path)
+
+
+def scorer(spark):
+    weights = spark.createDataFrame(WEIGHTS, "token string, w0 double, w1 double")
+    return lambda rows: scoring.linear_logits(rows, weights)
+
+
+def test_roundtrip(spark):
+    rows = [("a\"\n\\é", "r", "s", "p", 1, 2, 3), ("", "", "", "", 0, 0, 0)]
+    df = spark.createDataFrame(rows, SNIPPET)
+    assert [tuple(r) for r in bus.decode(bus.encode(df)).collect()] == rows
+    assert list(json.loads(bus.encode(df).first().value)) == SNIPPET.fieldNames()
+
+
+MESSAGES = {
+    '{"code":"x","extra":[1],"start_line":5}': True,
+    "{}": True,
+    '{"code":null}': True,
+    '{"code":"x"': False,
+    '{"start_line":"five"}': False,
+    "plain text": False,
+    "": False,
+    " \n": False,
+    "[1]": False,
+    '{"start_line":1.5}': False,
+}
+
+
+def test_malformed_messages_are_set_aside(spark):
+    df = spark.createDataFrame([(v,) for v in MESSAGES] + [(None,)], bus.MESSAGE)
+    good = bus.decode(df).collect()
+    assert sorted((r.code, r.start_line, r.timestamp) for r in good) == [("", 0, 0), ("", 0, 0), ("x", 5, 0)]
+    bad = [r.value for r in bus.malformed(df).collect()]
+    assert sorted(bad, key=str) == sorted([v for v, ok in MESSAGES.items() if not ok] + [None], key=str)
+
+
+def test_messages_are_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], bus.MESSAGE)
+    assert bus.decode(df)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_binary_values(spark):
+    df = spark.createDataFrame([(bytearray(message(1).encode()),)], "value binary")
+    assert bus.decode(df).first().code == "bad v1"
+
+
+def test_kafka_options():
+    reader, writer = bus.kafka_options("b:9092"), bus.kafka_sink_options("b:9092", "t")
+    assert reader["subscribe"] == "code-snippets" and reader["kafka.group.id"] == "gateway-inference"
+    assert writer["topic"] == "t" and writer["kafka.compression.type"] == "snappy"
+
+
+def run_feed(spark, topic, out, checkpoint):
+    stream = feed.score_messages(bus.consume_files(spark, topic), scorer(spark))
+    feed.write_results(stream, out, checkpoint, available_now=True).awaitTermination()
+
+
+def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
+    topic, out, checkpoint = (str(tmp_path / n) for n in ("topic", "out", "cp"))
+    publish(spark, topic, *(message(i, "bad" if i % 3 else "good") for i in range(30)), "broken", message(99, code="").replace(" v99", ""))
+    run_feed(spark, topic, out, checkpoint)
+    batch = feed.score_messages(spark.read.parquet(topic), scorer(spark))
+    assert batch.count() == 30
+    first = spark.read.schema(RESULT).parquet(out)
+    assert first.exceptAll(batch).count() == 0 and first.count() == 30
+    run_feed(spark, topic, out, checkpoint)
+    assert spark.read.parquet(out).count() == 30
+    publish(spark, topic, message(50), message(51))
+    run_feed(spark, topic, out, checkpoint)
+    ids = [r.id for r in spark.read.parquet(out).collect()]
+    assert len(ids) == len(set(ids)) == 32
+
+
+def test_fan_out(spark, tmp_path):
+    topic, out, shown, checkpoint = (str(tmp_path / n) for n in ("topic", "out", "feed", "cp"))
+    for part in range(5):
+        publish(spark, topic, *(message(part * 4 + i) for i in range(4)))
+    seen = []
+    stream = feed.score_messages(bus.consume_files(spark, topic, files_per_batch=1), scorer(spark))
+    query = feed.fan_out(
+        stream, out, shown, checkpoint, on_result=lambda rows, batch: seen.append((batch, rows.count())), limit=6, available_now=True
+    )
+    query.awaitTermination()
+    assert seen == [(b, 4) for b in range(5)]
+    assert feed.read_fanned_results(spark, out).count() == 20
+    # Files of one folder may come in any order; the feed keeps the newest of all.
+    assert sorted(r.timestamp for r in feed.read_feed(spark, shown).collect()) == list(range(14, 20))
+
+
+def test_fan_out_repeats_a_batch_safely(spark, tmp_path):
+    """A batch that fails after its first write is done again after the restart, without copies."""
+    topic, out, shown, checkpoint = (str(tmp_path / n) for n in ("topic", "out", "feed", "cp"))
+    publish(spark, topic, *(message(i) for i in range(4)))
+
+    def start(handler):
+        stream = feed.score_messages(bus.consume_files(spark, topic), scorer(spark))
+        return feed.fan_out(stream, out, shown, checkpoint, on_result=handler, available_now=True)
+
+    def fail(rows, batch):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception):
+        start(fail).awaitTermination()
+    start(None).awaitTermination()
+    assert feed.read_fanned_results(spark, out).count() == 4
+    assert feed.read_feed(spark, shown).count() == 4
+
+
+def test_placeholders_of_a_stream_meet_stored_snippets(spark, tmp_path):
+    topic, out, checkpoint = (str(tmp_path / n) for n in ("topic", "out", "cp"))
+    publish(spark, topic, message(1, file_path="f1.c", code="").replace(" v1", ""), message(2, file_path="PR#3", code="").replace(" v2", ""))
+    stored = spark.createDataFrame(
+        [("bad one", "r", "abcdef1234", "f1.c", 1, 2, 0), ("good two", "r", "abcdef1234", "x.md", 3, 4, 0)], SNIPPET
+    )
+    joined = feed.enrich_messages(bus.consume_files(spark, topic), stored)
+    results = scoring.as_results(scoring.with_label(scorer(spark)(joined)))
+    feed.write_results(results, out, checkpoint, available_now=True).awaitTermination()
+    rows = sorted((r.code, r.timestamp, r.label) for r in spark.read.parquet(out).collect())
+    assert rows == [("bad one", 1, "vulnerable"), ("bad one", 2, "vulnerable"), ("good two", 2, "clean")]
+
+
+def result_stream(spark, path, rows):
+    df = spark.createDataFrame(rows, "timestamp bigint, latency_ms float, is_anomalous boolean")
+    df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def test_latency_windows(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    rows = [(i * 100, float((i * 37) % 101), True) for i in range(3000)]
+    end = rows[-1][0] + 700_000
+    stream = result_stream(spark, source, rows + [(end, 1.0, False)])
+    live.write_latency_windows(stream, out, checkpoint, "10 seconds", available_now=True).awaitTermination()
+    got = {r.bucket_ms: (r.samples, r.latency, r.p99) for r in live.read_latency_windows(spark, out).collect()}
+    batch = latency.latency_buckets(spark.read.parquet(source)).filter(F.col("bucket_ms") + 10_000 <= end - 600_000)
+    want = {r.bucket_ms: (r.samples, r.latency, r.p99) for r in batch.collect()}
+    assert got == want and len(want) == 30
+
+
+def test_running_stats(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for part in ([(1, 2.0, True), (2, 4.0, False)], [(3, 6.0, True)]):
+        stream = result_stream(spark, source, part)
+        live.running_stats(stream, out, checkpoint, available_now=True).awaitTermination()
+    row = live.read_running_stats(spark, out).first()
+    assert (row.total_analyzed, row.anomalies_found, row.clean, row.avg_latency_ms) == (3, 2, 1, 4.0)
+
+
+def test_scratch_follows_the_session(spark):
+    def session(configured, master):
+        conf = SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": configured}.get(key) or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("hdfs://shared/", "yarn")) == "hdfs://shared"
+    assert shared_dir(session("", "local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(session("", "yarn"))
+    assert run_dir(spark, "x") != run_dir(spark, "x")
+
+
+def test_feed_reads_match_batch(spark, tmp_path):
+    df = spark.createDataFrame([tuple([f"i{i}", "r", "s", "p", 1, 1, "c", True, 0.5, "x", 1.0, i]) for i in range(10)], RESULT)
+    assert [r.id for r in reads.rolling_feed(df, 2).orderBy("rank").collect()] == ["i9", "i8"]
