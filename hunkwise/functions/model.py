@@ -24,7 +24,8 @@ def vulnerable_probability(logit0: Column, logit1: Column) -> Column:
 
 
 def is_vulnerable(confidence: Column) -> Column:
-    return confidence > THRESHOLD
+    # Spark ranks NaN above all numbers; an undefined score is not vulnerable.
+    return (confidence > THRESHOLD) & ~F.isnan(confidence)
 
 
 def label_of(confidence: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 BINS_PER_E_FOLD = 1024
 _OFFSET = 1 << 20
+LOWEST_BIN = -2 * _OFFSET
 
 
 def order_bin(value: Column) -> Column:

@@ -72,6 +72,15 @@ def enrich(placeholders: DataFrame, snippets: DataFrame) -> DataFrame:
     return _offered(snippets.drop("timestamp")).join(announced, [*COMMIT_KEY, _WANTED]).select(SNIPPET_COLUMNS)
 
 
+def announced_diffs(diffs: DataFrame, placeholders: DataFrame) -> DataFrame:
+    """Diffs of announced commits, for a small batch of deliveries against a long history.
+
+    Spark broadcasts the commits if they are few, and the history is then read
+    without a shuffle. When most diffs are announced, leave it out.
+    """
+    return diffs.join(placeholders.select(COMMIT_KEY).distinct(), COMMIT_KEY, "left_semi")
+
+
 def unenriched(placeholders: DataFrame, snippets: DataFrame) -> DataFrame:
     """Placeholders that no snippet matches.
 

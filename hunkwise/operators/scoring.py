@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from hunkwise.functions import model, text
+from hunkwise.functions.order import LOWEST_BIN, order_bin
 from hunkwise.operators.diffs import with_snippet_id
 from hunkwise.schemas import RESULT_COLUMNS
 
@@ -30,23 +31,35 @@ FIRST_TERM_ID = 2
 TOKEN_SALTS = 64
 
 
+def most_frequent(counts: DataFrame, n: str, size: int, key: str = "token") -> DataFrame:
+    """The ``size`` rows with the highest ``n``, ties by ``key``.
+
+    A histogram of ``n`` (few rows whatever the data) gives a floor that at least
+    ``size`` rows reach. Only those go into the sort, instead of ``size`` rows
+    from every task.
+    """
+    bins = counts.groupBy(order_bin(F.col(n)).alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    reached = F.sum("rows").over(Window.orderBy(F.desc("bin")))
+    floor = bins.withColumn("reached", reached).filter(F.col("reached") >= size).agg(F.max("bin")).scalar()
+    tall = counts.filter(order_bin(F.col(n)) >= F.coalesce(floor, F.lit(LOWEST_BIN)))
+    return tall.orderBy(F.desc(n), key).limit(size)
+
+
 def token_vocabulary(texts: DataFrame, size: int, column: str = "code") -> DataFrame:
     """The ``size`` most frequent tokens with their ids.
 
     Counts combine on the map side, so a token that makes up most of the text
-    costs one row per task. Only ``size`` rows reach the final ranking.
+    costs one row per task.
     """
     if size > model.MAX_DICTIONARY_TERMS:
         raise ValueError(f"vocabulary size {size} exceeds {model.MAX_DICTIONARY_TERMS}")
-    top = (
+    counts = (
         texts.select(F.explode(text.tokens(F.col(column))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size)
     )
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return top.withColumn("token_id", rank + (FIRST_TERM_ID - 1))
+    return most_frequent(counts, "n", size).withColumn("token_id", rank + (FIRST_TERM_ID - 1))
 
 
 def encode(texts: DataFrame, vocabulary: DataFrame, column: str = "code", max_length: int = MAX_LENGTH) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hunkwise.functions import text
 from hunkwise.functions.model import vulnerable_probability
 from hunkwise.operators import evaluation
-from hunkwise.operators.scoring import MAX_LENGTH, pipeline_logits
+from hunkwise.operators.scoring import MAX_LENGTH, most_frequent, pipeline_logits
 
 # Share of training rows that becomes validation, and its seed.
 VALIDATION_TENTHS = 1
@@ -77,7 +77,7 @@ def token_weights(labelled: DataFrame, size: int, scale: int = 1024) -> DataFram
         .groupBy("token")
         .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
     )
-    top = counts.orderBy(F.desc(F.col("n0") + F.col("n1")), "token").limit(size)
+    top = most_frequent(counts.withColumn("n", F.col("n0") + F.col("n1")), "n", size)
     everywhere = Window.partitionBy(F.lit(0))  # at most ``size`` rows
 
     def weight(name: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from hunkwise.operators import diffs as diff_ops, enrich, ingest, results as reads, scoring
 
@@ -13,11 +13,21 @@ def score_snippets(snippets: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def deliveries_to_results(
-    deliveries: DataFrame, diffs: DataFrame, weights: DataFrame, secret: str, timestamp: int
+    deliveries: DataFrame,
+    diffs: DataFrame,
+    weights: DataFrame,
+    secret: str,
+    timestamp: int,
+    small_batch: bool = False,
 ) -> DataFrame:
-    """Webhook deliveries and the diffs of their commits to scored results."""
-    snippets = diff_ops.function_snippets(diffs, timestamp)
-    return score_snippets(enrich.enrich(ingest.placeholders(deliveries, secret), snippets), weights)
+    """Webhook deliveries and the diffs of their commits to scored results.
+
+    ``small_batch`` drops the diffs of other commits before they are cut up.
+    """
+    asked = ingest.placeholders(deliveries, secret)
+    if small_batch:
+        diffs = enrich.announced_diffs(diffs, asked)
+    return score_snippets(enrich.enrich(asked, diff_ops.function_snippets(diffs, timestamp)), weights)
 
 
 def repo_risk(diffs: DataFrame, weights: DataFrame, timestamp: int) -> DataFrame:
@@ -25,6 +35,3 @@ def repo_risk(diffs: DataFrame, weights: DataFrame, timestamp: int) -> DataFrame
     scored = score_snippets(diff_ops.function_snippets(diffs, timestamp), weights)
     return reads.store_stats(scored, "repo")
 
-
-def message_columns(results: DataFrame) -> DataFrame:
-    return results.withColumn("confidence", F.round(F.col("confidence").cast("double"), 5))

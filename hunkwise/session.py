@@ -10,21 +10,26 @@ from pyspark.sql import SparkSession
 
 # AQE splits skewed join partitions, merges small ones and swaps in broadcast
 # joins when the measured size is below autoBroadcastJoinThreshold.
-ADAPTIVE_CONF = {
+DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Code texts are large; smaller Arrow batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    # Streaming state on local disk instead of the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
 def build_session(app: str = "hunkwise", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the adaptive settings; ``master`` is left to spark-submit on a cluster."""
+    """Session with the default settings; ``master`` is left to spark-submit on a cluster."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**ADAPTIVE_CONF, **conf}.items():
+    for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -80,6 +80,16 @@ def fan_out(
     return _start(results.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a stream that are counted as they pass, under ``name`` in the query's progress."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+def counted_rows(query: StreamingQuery, name: str) -> int:
+    """Rows counted under ``name`` in the batches that the query still reports."""
+    return sum(progress.observedMetrics[name].rows for progress in query.recentProgress if name in progress.observedMetrics)
+
+
 def read_fanned_results(spark: SparkSession, results_path: str) -> DataFrame:
     return spark.read.parquet(results_path).select(*RESULT_COLUMNS, "batch_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hunkwise.functions.signature import hmac_sha256_hex
 from hunkwise.operators import enrich, ingest
+from hunkwise.plans import adapters as a, pipeline
 from hunkwise.schemas import DELIVERY
 from hunkwise.sources import tables
 
@@ -193,6 +194,19 @@ def test_enrichment(spark):
     assert left == [("q", "s2", "b.go"), ("r", "s2", "a.c"), ("r", "s9", "PR#5")]
 
 
+def test_announced_diffs(spark):
+    diffs = spark.createDataFrame([("r", "s1", "d1"), ("r", "s9", "d2"), ("q", "s1", "d3")], "repo string, commit_sha string, diff string")
+    asked = placeholders(spark, ("r", "s1", "a.c", 1), ("r", "s1", "PR#4", 2), ("x", "s9", "b.c", 3))
+    assert [r.diff for r in enrich.announced_diffs(diffs, asked).collect()] == ["d1"]
+
+
+def test_small_batch_gives_the_same_results(spark, sf_dir):
+    weights = spark.createDataFrame([("int", 0.0, 1.0), ("the", 0.5, 0.0)], "token string, w0 double, w1 double")
+    args = a.deliveries(spark, sf_dir), a.diffs(spark, sf_dir), weights, a.SECRET, 5
+    whole, batch = (pipeline.deliveries_to_results(*args, small_batch=flag) for flag in (False, True))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, batch.collect())) != []
+
+
 def test_hot_commit(spark):
     """One commit holds most rows on both sides; nothing is lost when its partition is split."""
     n = 3000

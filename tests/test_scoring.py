@@ -100,6 +100,28 @@ def test_vocabulary_and_encoding(spark):
         scoring.token_vocabulary(df, model.MAX_DICTIONARY_TERMS + 1)
 
 
+def test_undefined_score_is_clean(spark):
+    df = spark.createDataFrame([(float("nan"), 1.0), (float("inf"), float("inf"))], "logit0 double, logit1 double")
+    assert [r.label for r in scoring.with_label(df).collect()] == ["clean", "clean"]
+
+
+@pytest.mark.parametrize("size", [1, 5, 37, 400, 5000])
+def test_most_frequent(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(f"t{i:04d}", int(n)) for i, n in enumerate(rng.zipf(1.4, 900).clip(0, 10**9))]
+    df = spark.createDataFrame(rows, "token string, n bigint")
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+    assert [tuple(r) for r in scoring.most_frequent(df, "n", size).collect()] == want
+
+
+def test_vocabulary_counts_once(spark, tmp_path):
+    path = str(tmp_path / "codes")
+    snippets(spark).write.parquet(path)
+    out = scoring.token_vocabulary(spark.read.parquet(path), 5)
+    plan = plan_of(out).split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") >= 1
+
+
 def loader(bad="BAD"):
     def load():
         def predict(codes):

@@ -72,6 +72,17 @@ def test_kafka_options():
     assert writer["topic"] == "t" and writer["kafka.compression.type"] == "snappy"
 
 
+def test_counters(spark, tmp_path):
+    topic, out, checkpoint = (str(tmp_path / n) for n in ("topic", "out", "cp"))
+    publish(spark, topic, *(message(i) for i in range(7)), "broken")
+    messages = feed.counted(bus.consume_files(spark, topic), "consumed")
+    results = feed.counted(feed.score_messages(messages, scorer(spark)), "processed")
+    query = feed.write_results(results, out, checkpoint, available_now=True)
+    query.awaitTermination()
+    assert feed.counted_rows(query, "consumed") == 8
+    assert feed.counted_rows(query, "processed") == 7
+
+
 def run_feed(spark, topic, out, checkpoint):
     stream = feed.score_messages(bus.consume_files(spark, topic), scorer(spark))
     feed.write_results(stream, out, checkpoint, available_now=True).awaitTermination()
