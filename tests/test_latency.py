@@ -77,23 +77,31 @@ def test_bins_keep_the_order(spark):
     assert max(bins) - min(bins) < 4 * (1 << 20)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 500, latency.HOT_ROWS])
 @pytest.mark.parametrize("spread", [1, 4000])
-def test_hot_bucket(spark, spread):
-    """A third of all rows in one bucket: no window or sort sees the bucket whole."""
+def test_hot_bucket(spark, spread, hot_rows):
+    """A third of all rows in one bucket gives the same result on either path."""
     n = 30_000
     df = spark.range(n).select(
-        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") * 10_000).cast("bigint").alias("timestamp"),
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") * 100).cast("bigint").alias("timestamp"),
         ((F.col("id") * 7919) % spread + 1).cast("float").alias("latency_ms"),
     )
-    hot = sorted(float((i * 7919) % spread + 1) for i in range(0, n, 3))
-    row = latency.latency_buckets(df).filter("bucket_ms = 0").first()
-    assert row.p99 == hot[len(hot) * 99 // 100] and row.samples == len(hot)
+    groups = {}
+    for i in range(n):
+        groups.setdefault(0 if i % 3 == 0 else i * 100 // 10_000 * 10_000, []).append(float((i * 7919) % spread + 1))
+    got = {r.bucket_ms: r for r in latency.latency_buckets(df, hot_rows=hot_rows).collect()}
+    assert set(got) == set(groups)
+    for bucket, values in groups.items():
+        row = got[bucket]
+        assert (row.samples, row.p99) == (len(values), sorted(values)[len(values) * 99 // 100])
+        assert row.latency == pytest.approx(sum(values) / len(values))
 
 
-def test_counts_are_shuffled_once(spark, tmp_path):
+def test_hot_bucket_is_never_sorted_whole(spark, tmp_path):
     path = str(tmp_path / "r")
     rows(spark, *((i * 100, i % 50) for i in range(2000))).write.parquet(path)
-    out = latency.latency_buckets(spark.read.parquet(path))
+    counts = latency.value_counts(spark.read.parquet(path).withColumn("g", F.lit(1)), ["g"], "latency_ms")
+    out = latency.buckets_from_counts(counts, "g")
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 2
