@@ -46,10 +46,11 @@ _ENDS_IN_NAME = rf"(?:pub{_WS}+)?(?:async{_WS}+)?fn{_WS}+\w*"
 _DEAD_RUN = rf"(?:{_MOD}){{65,}}+"
 FUNCTION_START = rf"(?md)^(?:(?:{_ENDS_IN_PAREN})(\()|{_ENDS_IN_NAME}(\w)|{_DEAD_RUN})"
 
-# Marks put before a match: \1 X \3 for a function start (X is the character
-# captured at its end) and \1 \3 for a dead run. A \1 in the text itself is
-# written \1 \2 first, so it is never mistaken for a mark.
-_MARK, _ESCAPED, _DEAD = "\u0001", "\u0001\u0002", "\u0001\u0003"
+# Put before every match: two bytes, and a third one (the character captured at
+# its end) at a function start only. Lines are compared by length with the
+# unmarked ones, so no text can be mistaken for a mark.
+_MARKED = "##$1$2$0"
+_START_BYTES = 3
 
 
 def file_chunks(diff: Column) -> Column:
@@ -93,59 +94,52 @@ def _line_number(base: Column, offset: Column) -> Column:
     return F.least(base.cast("bigint") + offset.cast("bigint"), F.lit(INT_MAX)).cast("int")
 
 
-def _is_start(line: Column) -> Column:
-    return line.startswith(_MARK) & ~line.startswith(_ESCAPED) & ~line.startswith(_DEAD)
-
-
-def _unmark(piece: Column) -> Column:
-    without_mark = F.substring(piece, 4, INT_MAX)
-    without_dead = F.replace(without_mark, F.lit(_DEAD), F.lit(""))
-    return F.replace(without_dead, F.lit(_ESCAPED), F.lit(_MARK))
-
-
 def _snippet(code: Column, start: Column, end: Column) -> Column:
     return F.struct(
         code.alias("code"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line")
     )
 
 
-def functions_in(code: Column, base_line: Column) -> Column:
-    """Function pieces of joined added lines: array of (code, start_line, end_line).
+def functions_in(lines: Column, base_line: Column) -> Column:
+    """Function pieces of a hunk's added lines: array of (code, start_line, end_line).
 
-    Work is linear in the text: the starts are marked once, and each piece is a
-    slice of the marked lines.
+    Work is linear in the text: the starts are found in one pass, and each piece
+    is a slice of the lines.
     """
-    escaped = F.replace(code, F.lit(_MARK), F.lit(_ESCAPED))
-    marked = F.regexp_replace(escaped, FUNCTION_START, _MARK + "$1$2\u0003$0")
+    marked = F.split(F.regexp_replace(F.array_join(lines, "\n"), FUNCTION_START, _MARKED), "\n", -1)
 
-    def cut(lines: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _is_start(F.get(lines, i))
-        )
-
-        def pieces(at: Column) -> Column:
-            def piece(first: Column, k: Column) -> Column:
-                after = F.coalesce(F.get(at, k + 1), F.size(lines))
-                text = F.array_join(F.slice(lines, first + 1, after - first), "\n")
-                return bind(
-                    trim_white_space(_unmark(text)),
-                    lambda body: _snippet(
-                        body,
-                        _line_number(base_line, first),
-                        _line_number(base_line, first + newline_count(body)),
-                    ),
-                )
+    def starts(both: Column) -> Column:
+        def is_start(i: Column) -> Column:
+            gained = F.octet_length(F.get(both["marked"], i)) - F.octet_length(F.get(both["lines"], i))
+            return gained == _START_BYTES
 
-            return F.transform(at, piece)
-
-        return bind(starts, pieces)
+        return F.struct(
+            both["lines"].alias("lines"),
+            F.filter(F.sequence(F.lit(0), F.size(both["lines"]) - 1), is_start).alias("starts"),
+        )
 
-    found = bind(F.split(marked, "\n", -1), cut)
+    def pieces(cut: Column) -> Column:
+        def piece(first: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(cut["starts"], k + 1), F.size(cut["lines"]))
+            code = F.array_join(F.slice(cut["lines"], first + 1, after - first), "\n")
+            return bind(
+                trim_white_space(code),
+                lambda trimmed: _snippet(
+                    trimmed,
+                    _line_number(base_line, first),
+                    _line_number(base_line, first + newline_count(trimmed)),
+                ),
+            )
+
+        return F.transform(cut["starts"], piece)
+
+    both = F.struct(lines.alias("lines"), marked.alias("marked"))
+    found = bind(bind(both, starts), pieces)
     return F.filter(found, lambda f: F.octet_length(f["code"]) >= MIN_FUNCTION_BYTES)
 
 
 def hunk_snippets(lines: Column, base_line: Column) -> Column:
     """Functions of a hunk, or the whole hunk when it has none."""
-    code = F.array_join(lines, "\n")
-    whole = F.array(_snippet(code, base_line, _line_number(base_line, F.size(lines) - 1)))
-    return bind(functions_in(code, base_line), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+    end = _line_number(base_line, F.size(lines) - 1)
+    whole = F.array(_snippet(F.array_join(lines, "\n"), base_line, end))
+    return bind(functions_in(lines, base_line), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
