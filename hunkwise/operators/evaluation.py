@@ -105,7 +105,9 @@ def roc_auc(pairs: DataFrame, score: str = "prob") -> DataFrame:
     """Area under the ROC curve; equal scores count half.
 
     Rows are first reduced to one per score. Scores are then ordered inside bins
-    in parallel, and only one row per bin reaches the final running sum.
+    in parallel, and only one row per bin reaches the final running sum. The
+    scorers give 32-bit scores, of which a bin has few; 64-bit ones give the same
+    result, but a bin then holds as many rows as it has different scores.
     """
     per_score = pairs.groupBy(score).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")

@@ -18,7 +18,7 @@ from hunkwise.operators import (
     scoring,
     training,
 )
-from hunkwise.plans import adapters as a, pipeline
+from hunkwise.plans import adapters as a, flows
 from hunkwise.session import run_dir
 from hunkwise.sources import bus, tables
 from hunkwise.streaming import feed, live
@@ -450,7 +450,7 @@ _OUT_COLUMNS = _RESULT_OUT.split(", ")
     "a_weights",
 )
 def scored_snippets(spark, sf_dir):
-    scored = pipeline.deliveries_to_results(
+    scored = flows.deliveries_to_results(
         a.deliveries(spark, sf_dir), a.diffs(spark, sf_dir), _weights(spark, sf_dir), a.SECRET, a.STAMP_MS
     )
     return _rounded(scored, 5, "confidence").select(_OUT_COLUMNS)
@@ -465,7 +465,7 @@ def scored_snippets(spark, sf_dir):
     "a_weights",
 )
 def repo_risk(spark, sf_dir):
-    risk = pipeline.repo_risk(a.diffs(spark, sf_dir), _weights(spark, sf_dir), a.STAMP_MS)
+    risk = flows.repo_risk(a.diffs(spark, sf_dir), _weights(spark, sf_dir), a.STAMP_MS)
     return _rounded(risk, 6, "anomaly_rate").select(
         "repo", "total_analyzed", "anomalies_found", "clean", "anomaly_rate"
     )

@@ -61,7 +61,8 @@ def fan_out(
 
     A batch is scored once, on its way to the table; the feed and the callback
     read it back from there. The feed alternates between two folders: a batch
-    merges the other folder's rows with its own and keeps the newest.
+    merges the other folder's rows with its own and keeps the newest. A new
+    checkpoint counts batches from zero, so it needs new folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hunkwise.functions.signature import hmac_sha256_hex
 from hunkwise.operators import enrich, ingest
-from hunkwise.plans import adapters as a, pipeline
+from hunkwise.plans import adapters as a, flows
 from hunkwise.schemas import DELIVERY
 from hunkwise.sources import tables
 
@@ -203,7 +203,7 @@ def test_announced_diffs(spark):
 def test_small_batch_gives_the_same_results(spark, sf_dir):
     weights = spark.createDataFrame([("int", 0.0, 1.0), ("the", 0.5, 0.0)], "token string, w0 double, w1 double")
     args = a.deliveries(spark, sf_dir), a.diffs(spark, sf_dir), weights, a.SECRET, 5
-    whole, batch = (pipeline.deliveries_to_results(*args, small_batch=flag) for flag in (False, True))
+    whole, batch = (flows.deliveries_to_results(*args, small_batch=flag) for flag in (False, True))
     assert sorted(map(str, whole.collect())) == sorted(map(str, batch.collect())) != []
 
 
