@@ -89,7 +89,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     edges = np.searchsorted(data[induced], np.arange(257))
     direct_edges = np.searchsorted(first_bytes, np.arange(257))
     run = ahead - np.arange(n)
-    for c in np.unique(data):
+    for c in np.unique(data).tolist():
         bucket = induced[edges[c] : edges[c + 1]]
         # Shorter runs of the byte come first; each level follows from the one before.
         lengths = run[bucket]

@@ -1,0 +1,102 @@
+import random
+
+import xxhash
+from pyspark.sql import functions as F
+
+from hunkwise.llm import simhash
+
+from .cases import awkward, frame
+
+
+def plain_print(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    distinct = sorted(set(prints))
+    root = {p: p for p in distinct}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+    return {p: find(p) for p in distinct}
+
+
+def unsigned(x):
+    return x % (1 << 64)
+
+
+def test_masks_cover_all_pairs_within_the_radius():
+    for a in range(64):
+        for b in range(64):
+            assert any(not mask & (1 << a | 1 << b) for mask in simhash.MASKS.values())
+
+
+def test_links_connect_all_close_fingerprints(spark):
+    r = random.Random(5)
+    prints = [r.getrandbits(64) for _ in range(200)]
+    for _ in range(400):
+        x = r.choice(prints)
+        for _ in range(r.randint(1, 3)):
+            x ^= 1 << r.randrange(64)
+        prints.append(x)
+    hub = r.getrandbits(64)  # one large cluster in the same buckets
+    prints += [hub ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)]
+    signed = [(p - (1 << 64) if p >= 1 << 63 else p,) for p in set(prints)]
+    edges = simhash.links(spark.createDataFrame(signed, "fp bigint"))
+    assert all((unsigned(e.a) ^ unsigned(e.b)).bit_count() <= 2 for e in edges.collect())
+    rooted = {unsigned(x.node): unsigned(x.root) for x in simhash.components(edges).collect()}
+    wanted = plain_components(prints)
+    groups, found = {}, {}
+    for p in set(prints):
+        groups.setdefault(wanted[p], set()).add(p)
+        found.setdefault(rooted.get(p, p), set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_documents(spark):
+    given = awkward()
+    rows = simhash.cluster(frame(spark, given)).collect()
+    roots = plain_components([plain_print(t) for _, t, *_ in given])
+    least = {}
+    for i, t, *_ in given:
+        if i is not None:
+            least[roots[plain_print(t)]] = min(i, least.get(roots[plain_print(t)], i))
+    assert sorted(((r.doc_id, unsigned(r.fp), r.component_id) for r in rows), key=repr) == sorted(
+        ((i, plain_print(t), least.get(roots[plain_print(t)])) for i, t, *_ in given), key=repr
+    )
+    kept = simhash.survivors(frame(spark, given)).collect()
+    assert len(kept) == len({roots[plain_print(t)] for _, t, *_ in given})
+    assert {roots[plain_print(k.text)] for k in kept} == {roots[plain_print(t)] for _, t, *_ in given}
+    assert kept[0].asDict().keys() == frame(spark, given[:1]).first().asDict().keys()
+
+
+def test_sf(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given = {r.doc_id: plain_print(r.text) for r in docs.collect()}
+    roots = plain_components(list(given.values()))
+    least = {}
+    for i, p in given.items():
+        least[roots[p]] = min(i, least.get(roots[p], i))
+    found = {r.doc_id: (unsigned(r.fp), r.component_id) for r in simhash.cluster(docs).collect()}
+    assert found == {i: (p, least[roots[p]]) for i, p in given.items()}
+
+
+def test_empty(spark):
+    assert simhash.cluster(frame(spark, [(1, "x")]).limit(0)).collect() == []
+    assert simhash.survivors(frame(spark, [(1, "x")]).limit(0)).collect() == []
+    assert simhash.survivors(frame(spark, [(None, "x")] * 3)).select(F.count("*")).first()[0] == 1
