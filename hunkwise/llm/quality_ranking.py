@@ -20,6 +20,8 @@ from hunkwise.llm.common import is_held_out, learn_sample, map_batches, material
 # Bounds: labelled rows of either class that are learnt from, and opponents of each.
 LEARN_ROWS = 4_000
 OPPONENTS = 8
+# The sample is small, and every step of the fit is a job over its partitions.
+FIT_PARTITIONS = 4
 
 _MARKS = b"!|#*$%&<>?\",;:()[]{}=/\\_~^@+-"
 
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     sizes = {r["label"]: r["rows"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).collect()}
     if len(sizes) < 2:
         return Model(np.zeros(N_FEATURES), 0.0)
-    pairs = preference_pairs(rows).select("label", array_to_vector("features").alias("features"))
+    pairs = preference_pairs(rows).select("label", array_to_vector("features").alias("features")).coalesce(FIT_PARTITIONS)
     weights = LogisticRegression(maxIter=60, regParam=1e-3, fitIntercept=False).fit(pairs).coefficients.toArray()
     usable = labels.filter(F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id")))
     whole = {r[label]: r["rows"] for r in usable.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).collect()}

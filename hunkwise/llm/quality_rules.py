@@ -21,6 +21,8 @@ from hunkwise.llm.common import is_held_out, learn_sample, map_batches, material
 
 # Bounds of the labelled samples, per class: for the fit and for the calibration.
 FIT_ROWS, CALIBRATION_ROWS = 2_000, 1_000
+# The sample is small, and every step of the fit is a job over its partitions.
+FIT_PARTITIONS = 4
 # Fixed thresholds of the rules.
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -29,7 +31,7 @@ REPEAT_WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 
 # Hashed features: words and word pairs, then 3- and 4-byte character n-grams.
-_BITS = 16
+_BITS = 14
 _SIDE = 1 << _BITS
 FEATURES = 2 * _SIDE
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,13 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
     rows = materialize(
         map_batches(chosen, sparse, "label int, fitted boolean, at array<int>, shares array<double>"), "quality-features"
-    )
+    ).coalesce(FIT_PARTITIONS)
     to_vector = F.udf(lambda at, shares: Vectors.sparse(FEATURES, at, shares), VectorUDT())
     vectors = rows.select(F.col("label").cast("double").alias("label"), "fitted", to_vector("at", "shares").alias("features"))
     kinds = {(r["fitted"], r["label"]): r["rows"] for r in rows.groupBy("fitted", "label").agg(F.count(F.lit(1)).alias("rows")).collect()}
     if not (kinds.get((True, 0)) and kinds.get((True, 1))):
         return Model(np.zeros(FEATURES, np.float32), 0.0, 0.0, 700.0)
-    fitted = LogisticRegression(maxIter=30, regParam=0.003).fit(vectors.filter("fitted"))
+    fitted = LogisticRegression(maxIter=20, regParam=0.003).fit(vectors.filter("fitted"))
     model = Model(fitted.coefficients.toArray(), float(fitted.intercept))
     if not (kinds.get((False, 0)) and kinds.get((False, 1))):
         return model
