@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 VULNERABLE, CLEAN = "vulnerable", "clean"
 # Fixed value: a probability must exceed this to count as vulnerable.
 THRESHOLD = 0.5
 
-# Largest table that is turned into a plan literal (a code-model vocabulary has
-# about 50 000 entries). Bigger ones take the join path.
-MAX_DICTIONARY_TERMS = 65_536
-
 
 def vulnerable_probability(logit0: Column, logit1: Column) -> Column:
     """Second component of the two-class softmax, shifted by the larger logit."""
@@ -24,53 +17,9 @@ def vulnerable_probability(logit0: Column, logit1: Column) -> Column:
 
 
 def is_vulnerable(confidence: Column) -> Column:
-    # Spark ranks NaN above all numbers; an undefined score is not vulnerable.
-    return (confidence > THRESHOLD) & ~F.isnan(confidence)
+    # Spark ranks NaN above all numbers; an undefined or missing score is not vulnerable.
+    return F.coalesce((confidence > THRESHOLD) & ~F.isnan(confidence), F.lit(False))
 
 
 def label_of(confidence: Column) -> Column:
     return F.when(is_vulnerable(confidence), VULNERABLE).otherwise(CLEAN)
-
-
-@dataclass(frozen=True)
-class TermDictionary:
-    """A bounded term table as one literal array of hash slots.
-
-    Looking a term up is an array access and a comparison with the few entries
-    of its slot, so token arrays are scored where they are: no explode, join or
-    shuffle.
-    """
-
-    slots: Column
-    n_slots: int
-
-    def lookup(self, term: Column) -> Column:
-        """The entry of ``term``, or NULL."""
-        slot = F.get(self.slots, F.pmod(F.xxhash64(term), F.lit(self.n_slots)).cast("int"))
-        return F.get(F.filter(slot, lambda entry: entry["term"] == term), F.lit(0))
-
-
-def term_dictionary(table: DataFrame, term: str, **values: str) -> TermDictionary | None:
-    """Dictionary of ``table``, or None when it exceeds ``MAX_DICTIONARY_TERMS`` rows.
-
-    ``values`` maps entry fields to the columns they come from. At most
-    ``MAX_DICTIONARY_TERMS + 1`` rows reach the driver.
-    """
-    chosen = table.select(
-        F.xxhash64(term).alias("hash"),
-        F.col(term).alias("term"),
-        *(F.col(source).alias(name) for name, source in values.items()),
-    )
-    rows = chosen.limit(MAX_DICTIONARY_TERMS + 1).collect()
-    if len(rows) > MAX_DICTIONARY_TERMS:
-        return None
-    n_slots = max(1, 2 * len(rows))
-    slots: list[list[dict]] = [[] for _ in range(n_slots)]
-    for row in rows:
-        entry = row.asDict()
-        slots[entry.pop("hash") % n_slots].append(entry)
-    fields = ",".join(
-        f"{field.name}:{field.dataType.simpleString()}" for field in chosen.schema if field.name != "hash"
-    )
-    literal = F.from_json(F.lit(json.dumps(slots)), f"array<array<struct<{fields}>>>")
-    return TermDictionary(literal, n_slots)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 BINS_PER_E_FOLD = 1024
 _OFFSET = 1 << 20
-LOWEST_BIN = -2 * _OFFSET
+LOWEST_BIN, HIGHEST_BIN = -2 * _OFFSET, 2 * _OFFSET
 
 
 def order_bin(value: Column) -> Column:
@@ -17,6 +17,16 @@ def order_bin(value: Column) -> Column:
     the values of a bin can grow with the data.
     """
     x = value.cast("double")
-    size = F.floor(F.ln(F.abs(x)) * BINS_PER_E_FOLD) + _OFFSET
+    # Infinities and NaN, which Spark orders last, have bins of their own.
+    finite = F.when(F.abs(x) < float("inf"), x)
+    size = F.floor(F.ln(F.abs(finite)) * BINS_PER_E_FOLD) + _OFFSET
     # Never NULL, so that joins on the bin add no filters and shuffles can be reused.
-    return F.coalesce(F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("int"), F.lit(0))
+    bin_of = (
+        F.when(F.isnan(x), HIGHEST_BIN)
+        .when(x == float("inf"), HIGHEST_BIN - 1)
+        .when(x == float("-inf"), LOWEST_BIN)
+        .when(x > 0, size)
+        .when(x < 0, -size)
+        .otherwise(F.lit(0))
+    )
+    return F.coalesce(bin_of.cast("int"), F.lit(0))

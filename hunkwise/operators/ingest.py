@@ -60,12 +60,12 @@ def checked(deliveries: DataFrame, secret: str = "", max_bytes: int = MAX_BODY_B
     Bodies are parsed only when the earlier checks passed and the type needs it.
     """
     event = F.col("event_type")
-    fits = F.octet_length("body") <= max_bytes
-    gated = deliveries.withColumn(
-        "signature_ok", F.when(fits, sig.signature_ok(F.col("body"), F.col("signature"), secret))
-    )
+    present = F.coalesce("body", F.lit(b""))  # no body is an empty one
+    fits = F.octet_length(present) <= max_bytes
+    signed = F.coalesce(sig.signature_ok(present, F.col("signature"), secret), F.lit(False))
+    gated = deliveries.withColumn("signature_ok", F.when(fits, signed))
     accepted = fits & F.col("signature_ok")
-    body = F.col("body").cast("string")
+    body = present.cast("string")
     parsed = gated.withColumn(
         "push", F.when(accepted & (event == PUSH), _parsed(body, PUSH_EVENT))
     ).withColumn("pull", F.when(accepted & (event == PULL_REQUEST), _parsed(body, PULL_REQUEST_EVENT)))

@@ -17,9 +17,6 @@ from hunkwise.functions.order import order_bin
 BUCKET_MS = 10_000
 CHART_BUCKETS = 30
 
-# Rows of a group that one task may sort.
-HOT_ROWS = 4_000_000
-
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:
     """1-based rank ``ceil(n q)``."""
@@ -91,34 +88,10 @@ def buckets_from_counts(counts: DataFrame, bucket: str = "bucket_ms", value: str
     return means.join(select_ranks(counts, [bucket], value, {"p99": floor_index(0.99)}), bucket)
 
 
-def latency_buckets(
-    results: DataFrame, width_ms: int = BUCKET_MS, value: str = "latency_ms", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Mean and p99 of each bucket.
-
-    An ordinary bucket is sorted in one task, after a single shuffle. A bucket of
-    more than ``hot_rows`` rows goes through its value counts instead, so that no
-    task holds it.
-    """
-    bucket = bucket_start(F.col("timestamp"), width_ms).alias("bucket_ms")
-    rows = results.select(bucket, value).dropna()
-    # Broadcast is safe: one row of eight bytes for every ``hot_rows`` input rows.
-    hot = F.broadcast(rows.groupBy("bucket_ms").count().filter(F.col("count") > hot_rows).select("bucket_ms"))
-    whole = Window.partitionBy("bucket_ms")
-    rank = floor_index(0.99)(F.col("samples"))
-    ordinary = (
-        rows.join(hot, "bucket_ms", "left_anti")
-        .withColumn("position", F.row_number().over(whole.orderBy(value)))
-        .withColumn("samples", F.count(F.lit(1)).over(whole))
-        .groupBy("bucket_ms")
-        .agg(
-            F.count(F.lit(1)).alias("samples"),
-            F.avg(F.col(value).cast("double")).alias("latency"),
-            F.max(F.when(F.col("position") == rank, F.col(value))).alias("p99"),
-        )
-    )
-    large = rows.join(hot, "bucket_ms", "left_semi")
-    return ordinary.unionByName(buckets_from_counts(value_counts(large, ["bucket_ms"], value), value=value))
+def latency_buckets(results: DataFrame, width_ms: int = BUCKET_MS, value: str = "latency_ms") -> DataFrame:
+    """Mean and p99 of each bucket, however many rows it has."""
+    rows = results.select(bucket_start(F.col("timestamp"), width_ms).alias("bucket_ms"), value)
+    return buckets_from_counts(value_counts(rows, ["bucket_ms"], value), value=value)
 
 
 def last_buckets(
@@ -130,5 +103,5 @@ def last_buckets(
     """
     rows = results.select(bucket_start(F.col("timestamp"), width_ms).alias("bucket_ms"), value)
     newest = rows.filter(F.col(value).isNotNull()).select("bucket_ms").distinct().orderBy(F.desc("bucket_ms")).limit(limit)
-    recent = rows.join(F.broadcast(newest), "bucket_ms", "left_semi")  # at most ``limit`` rows
+    recent = rows.join(newest, "bucket_ms", "left_semi")
     return buckets_from_counts(value_counts(recent, ["bucket_ms"], value), value=value)

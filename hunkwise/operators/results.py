@@ -63,7 +63,9 @@ def latest(results: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
 
 def _last_write(results: DataFrame, arrival: str) -> DataFrame:
     columns = results.columns
-    newest = results.groupBy("id").agg(F.max_by(F.struct(*columns), F.col(arrival)).alias("row"))
+    row = F.struct(*columns)
+    # Of writes that arrived at the same time the one with the largest values counts, whatever the order of the rows.
+    newest = results.groupBy("id").agg(F.max_by(row, F.struct(F.col(arrival), row)).alias("row"))
     return newest.select("row.*")
 
 
@@ -129,17 +131,24 @@ def search(results: DataFrame, query: str = "") -> DataFrame:
     return results.filter(hit)
 
 
-def feed(
-    results: DataFrame, status: str = ALL, query: str = "", sort: str = NEWEST, limit: int = FEED_LIMIT
-) -> DataFrame:
-    """The filtered feed in its order, with a ``rank``."""
+def ranked(results: DataFrame, status: str = ALL, query: str = "", sort: str = NEWEST, limit: int | None = None) -> DataFrame:
+    """The filtered rows in their order: all of them without a ``rank``, or the first ``limit`` with one."""
     order = _order(sort)
-    chosen = search(filter_status(results, status), query)
-    return _ranked(chosen.orderBy(*order).limit(limit), order)
+    chosen = search(filter_status(results, status), query).orderBy(*order)
+    return chosen if limit is None else _ranked(chosen.limit(limit), order)
 
 
 def rolling_feed(results: DataFrame, limit: int = FEED_LIMIT) -> DataFrame:
-    return feed(results, limit=limit)
+    """The newest results, with a ``rank``."""
+    return ranked(results, limit=limit)
+
+
+def feed(
+    results: DataFrame, status: str = ALL, query: str = "", sort: str = NEWEST, window: int = FEED_LIMIT
+) -> DataFrame:
+    """What a feed shows: the newest ``window`` results, then filtered and sorted, with a ``rank``."""
+    newest = results.orderBy(*_order(NEWEST)).limit(window)
+    return _ranked(search(filter_status(newest, status), query), _order(sort))
 
 
 def display(results: DataFrame) -> DataFrame:

@@ -27,9 +27,6 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_TERM_ID = 2
 
-# Spread of a hot token over tasks on the join path.
-TOKEN_SALTS = 64
-
 
 def most_frequent(counts: DataFrame, n: str, size: int, key: str = "token") -> DataFrame:
     """The ``size`` rows with the highest ``n``, ties by ``key``.
@@ -51,8 +48,6 @@ def token_vocabulary(texts: DataFrame, size: int, column: str = "code") -> DataF
     Counts combine on the map side, so a token that makes up most of the text
     costs one row per task.
     """
-    if size > model.MAX_DICTIONARY_TERMS:
-        raise ValueError(f"vocabulary size {size} exceeds {model.MAX_DICTIONARY_TERMS}")
     counts = (
         texts.select(F.explode(text.tokens(F.col(column))).alias("token"))
         .groupBy("token")
@@ -66,28 +61,26 @@ def encode(texts: DataFrame, vocabulary: DataFrame, column: str = "code", max_le
     """Adds ``n_tokens`` and the fixed-length ``input_ids`` and ``attention_mask``.
 
     A fixed input length is part of the model contract; ``n_tokens`` is the
-    length of the whole text.
+    length of the whole text, 0 for a NULL one. The vocabulary is joined, whatever
+    its size; each different text is looked up once.
     """
-    dictionary = model.term_dictionary(vocabulary, "token", token_id="token_id")
-    if dictionary is None:
-        raise ValueError(f"vocabulary exceeds {model.MAX_DICTIONARY_TERMS} tokens")
-
-    def padded(found: Column) -> Column:
-        ids = F.transform(
-            F.slice(found, 1, max_length),
-            lambda t: F.coalesce(dictionary.lookup(t)["token_id"], F.lit(UNKNOWN_ID)),
-        )
-        gap = F.greatest(max_length - F.size(found), F.lit(0))
-        used = F.least(F.size(found), F.lit(max_length))
-        return F.struct(
-            F.size(found).alias("n_tokens"),
-            F.concat(ids, F.array_repeat(F.lit(PAD_ID), gap)).alias("input_ids"),
-            F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
-        )
-
-    encoded = text.bind(text.tokens(F.col(column)), padded)
-    return texts.withColumn("encoded", encoded).select(
-        *texts.columns, "encoded.n_tokens", "encoded.input_ids", "encoded.attention_mask"
+    found = text.tokens(F.col(column))
+    keyed = texts.withColumn("code_hash", F.sha2(F.col(column), 256))
+    distinct = keyed.filter(F.col("code_hash").isNotNull()).dropDuplicates(["code_hash"])
+    placed = distinct.select("code_hash", F.posexplode_outer(F.slice(found, 1, max_length)).alias("at", "token"))
+    ids = (
+        placed.filter(F.col("token").isNotNull())
+        .join(vocabulary.select("token", "token_id"), "token", "left")
+        .groupBy("code_hash")
+        .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))))["id"].alias("ids"))
+    )
+    used = F.coalesce(F.size("ids"), F.lit(0))
+    gap = F.lit(max_length) - used
+    return keyed.join(ids, "code_hash", "left").select(
+        *texts.columns,
+        F.coalesce(F.size(found), F.lit(0)).alias("n_tokens"),
+        F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array_repeat(F.lit(PAD_ID), gap)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
     )
 
 
@@ -96,57 +89,29 @@ def linear_logits(
 ) -> DataFrame:
     """Adds ``logit0`` and ``logit1``: the bias plus the weights of all tokens of the code.
 
-    ``weights`` has (token, w0, w1). A table of up to ``MAX_DICTIONARY_TERMS``
-    rows becomes a plan literal and the scorer is narrow; a bigger one is joined.
+    ``weights`` has (token, w0, w1), any number of rows; rows of one token add up.
+    A NULL code has no tokens. Each different code text is scored once, so copies
+    cost one row, and token counts are combined before the join. Spark broadcasts
+    weights that are small, and splits the partition of a token such as ``(`` that
+    occurs in nearly every snippet.
     """
     summed = weights.groupBy("token").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
-    dictionary = model.term_dictionary(summed, "token", w0="w0", w1="w1")
-    if dictionary is None:
-        return linear_logits_by_join(snippets, summed, bias)
-    zero = F.struct(F.lit(float(bias[0])).alias("l0"), F.lit(float(bias[1])).alias("l1"))
-
-    def add(total: Column, token: Column) -> Column:
-        return text.bind(
-            dictionary.lookup(token),
-            lambda entry: F.struct(
-                (total["l0"] + F.coalesce(entry["w0"], F.lit(0.0))).alias("l0"),
-                (total["l1"] + F.coalesce(entry["w1"], F.lit(0.0))).alias("l1"),
-            ),
-        )
-
-    folded = snippets.withColumn("logits", F.aggregate(text.tokens(F.col("code")), zero, add))
-    return folded.select(*snippets.columns, F.col("logits.l0").alias("logit0"), F.col("logits.l1").alias("logit1"))
-
-
-def linear_logits_by_join(
-    snippets: DataFrame,
-    weights: DataFrame,
-    bias: tuple[float, float] = (0.0, 0.0),
-    salts: int = TOKEN_SALTS,
-) -> DataFrame:
-    """The same logits for a weights table of any size.
-
-    Each different code text is scored once, so copies cost one row. Token
-    counts are combined before the join, and the join key is salted, because a
-    token such as ``(`` occurs in nearly every snippet.
-    """
     keyed = snippets.withColumn("code_hash", F.sha2(F.col("code"), 256))
     counts = (
         keyed.select("code_hash", "code")
+        .filter(F.col("code_hash").isNotNull())
         .dropDuplicates(["code_hash"])
-        .select("code_hash", F.explode(text.tokens(F.col("code"))).alias("token"))
+        .select("code_hash", F.explode_outer(text.tokens(F.col("code"))).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("code_hash", "token")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("salt", F.pmod(F.xxhash64("code_hash"), F.lit(salts)).cast("int"))
     )
-    spread = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     sums = (
-        counts.join(spread, ["token", "salt"])
+        counts.join(summed, "token")
         .groupBy("code_hash")
         .agg(F.sum(F.col("n") * F.col("w0")).alias("s0"), F.sum(F.col("n") * F.col("w1")).alias("s1"))
     )
-    joined = keyed.join(sums, "code_hash", "left")
-    return joined.select(
+    return keyed.join(sums, "code_hash", "left").select(
         *snippets.columns,
         (F.coalesce("s0", F.lit(0.0)) + bias[0]).alias("logit0"),
         (F.coalesce("s1", F.lit(0.0)) + bias[1]).alias("logit1"),

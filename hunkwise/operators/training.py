@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hunkwise.functions import text
 from hunkwise.functions.model import vulnerable_probability
@@ -66,25 +66,26 @@ def dataset_stats(dataset: DataFrame, model_name: str, max_length: int = MAX_LEN
     ).select("model_name", "max_length", F.struct(TRAIN, VALIDATION, TEST).alias("splits"))
 
 
-def token_weights(labelled: DataFrame, size: int, scale: int = 1024) -> DataFrame:
+def token_weights(labelled: DataFrame, size: int | None = None, scale: int = 1024) -> DataFrame:
     """Closed-form two-class weights (token, w0, w1) from token counts per label.
 
-    Smoothed log-likelihoods of the ``size`` most frequent tokens, rounded to
-    multiples of ``1/scale``; with a power of two, sums are exact in any order.
+    Smoothed log-likelihoods of all tokens, or of the ``size`` most frequent ones,
+    rounded to multiples of ``1/scale``; with a power of two, sums are exact in any
+    order.
     """
     counts = (
-        labelled.select("label", F.explode(text.tokens(F.col("code"))).alias("token"))
+        labelled.select("label", F.explode_outer(text.tokens(F.col("code"))).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
     )
-    top = most_frequent(counts.withColumn("n", F.col("n0") + F.col("n1")), "n", size)
-    everywhere = Window.partitionBy(F.lit(0))  # at most ``size`` rows
+    used = counts if size is None else most_frequent(counts.withColumn("n", F.col("n0") + F.col("n1")), "n", size)
 
     def weight(name: str):
-        mass = F.sum(name).over(everywhere) + F.count(F.lit(1)).over(everywhere)
+        mass = used.agg(F.sum(name) + F.count(F.lit(1))).scalar()
         return F.round(F.ln((F.col(name) + 1) / mass) * scale) / scale
 
-    return top.select("token", weight("n0").alias("w0"), weight("n1").alias("w1"))
+    return used.select("token", weight("n0").alias("w0"), weight("n1").alias("w1"))
 
 
 def featurizer(n_features: int = N_FEATURES) -> Pipeline:

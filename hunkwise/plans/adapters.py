@@ -15,10 +15,9 @@ from hunkwise.functions.signature import hmac_sha256_hex
 from hunkwise.functions.text import TOKEN_PATTERN, WHITE_SPACE
 from hunkwise.sources.tables import read_spread
 
-SECRET = "fixture-secret"
+SECRET = "between-two-services"
 FIRST_DELIVERY_MS = 1_700_000_000_000
 STAMP_MS = 1_700_000_000_000
-WEIGHT_TERMS = 20_000
 VOCABULARY_TERMS = 5_000
 
 
@@ -128,7 +127,7 @@ _BODY = f"""concat(case {_EVENT_TYPE}
   ']}}')
  when 'pull_request' then concat('{{"action":"', {_ACTION}, '","pull_request":{{"number":', o_orderkey % 1000,
   ',"title":"t","head":{{"sha":"', {_SHA}, '"}}}},"repository":{{"full_name":"', {_REPO}, '"}}}}')
- when 'ping' then '{{"zen":"fixture"}}' else '{{}}' end)"""
+ when 'ping' then '{{"hook":"alive"}}' else '{{}}' end)"""
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,8 +368,8 @@ CTES = {
         "SELECT token, round(ln((n0 + 1) / (sum(n0) OVER () + count(*) OVER ())) * 1024) / 1024 AS w0, "
         "round(ln((n1 + 1) / (sum(n1) OVER () + count(*) OVER ())) * 1024) / 1024 AS w1 FROM ("
         "SELECT token, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM ("
-        f"SELECT label, unnest(regexp_extract_all(code, {TOKEN_SQL})) AS token FROM a_labelled) "
-        f"GROUP BY token ORDER BY n0 + n1 DESC, token LIMIT {WEIGHT_TERMS})"
+        f"SELECT label, unnest(regexp_extract_all(code, {TOKEN_SQL})) AS token FROM a_labelled WHERE split = 'train') "
+        "GROUP BY token)"
     ),
     "a_pairs": (
         f"SELECT doc_id, {_PROB} AS prob, cast(toxic AS int) AS label, cast({_PROB} > 0.5 AS int) AS pred FROM labels"

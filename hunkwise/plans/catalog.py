@@ -372,7 +372,9 @@ def encode_pad(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
-    return training.token_weights(training.prepare(a.labelled(spark, sf_dir)), a.WEIGHT_TERMS)
+    """Of all tokens of the training rows."""
+    split = training.with_validation(training.prepare(a.labelled(spark, sf_dir)), "doc_id")
+    return training.token_weights(split.filter(F.col("split") == training.TRAIN))
 
 
 @query("linear_weights", "SELECT token, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM a_weights", "a_weights")
@@ -412,8 +414,10 @@ def score_linear(spark, sf_dir):
 
 @query("score_linear_join", ORACLES["score_linear"])
 def score_linear_join(spark, sf_dir):
-    """The same by the join that serves weights of any size."""
-    scored = scoring.linear_logits_by_join(_snippets(spark, sf_dir), _weights(spark, sf_dir))
+    """The same with weights that come in two parts, which add up."""
+    whole = _weights(spark, sf_dir)
+    parts = whole.withColumn("w0", F.col("w0") - 1).unionByName(whole.withColumns({"w0": F.lit(1.0), "w1": F.lit(0.0)}))
+    scored = scoring.linear_logits(_snippets(spark, sf_dir), parts)
     return _rounded(scored, 6, "logit0", "logit1").select(
         "repo", "commit_sha", "file_path", "start_line", "logit0", "logit1"
     )
@@ -604,7 +608,7 @@ def feed_search(spark, sf_dir):
 def _register_feed(name: str, mode: str, order: str) -> None:
     oracle = (
         "SELECT id, cast(rank AS int) AS rank FROM (SELECT id, row_number() OVER (ORDER BY "
-        f"{order}, id) AS rank FROM a_results WHERE is_anomalous) WHERE rank <= {reads.FEED_LIMIT}"
+        f"{order}, id) AS rank FROM (SELECT * FROM a_results ORDER BY timestamp DESC, id LIMIT {reads.FEED_LIMIT}) WHERE is_anomalous)"
     )
 
     @query(name, oracle, "a_results")
@@ -835,11 +839,11 @@ def _published(spark, sf_dir) -> str:
     return topic
 
 
-def _scored_stream(spark, sf_dir):
-    weights = _weights(spark, sf_dir)
-    return feed.score_messages(
-        bus.consume_files(spark, _published(spark, sf_dir)), lambda rows: scoring.linear_logits(rows, weights)
-    )
+def _messages_and_scorer(spark, sf_dir):
+    weights = run_dir(spark, "weights")
+    _weights(spark, sf_dir).write.parquet(weights)
+    stored = spark.read.parquet(weights)
+    return bus.consume_files(spark, _published(spark, sf_dir)), lambda rows: scoring.linear_logits(rows, stored)
 
 
 _STREAM_SCORED = (
@@ -856,7 +860,8 @@ _STREAM_SCORED = (
 )
 def stream_scored_feed(spark, sf_dir):
     out, checkpoint = run_dir(spark, "results"), run_dir(spark, "checkpoint")
-    feed.write_results(_scored_stream(spark, sf_dir), out, checkpoint, available_now=True).awaitTermination()
+    messages, scorer = _messages_and_scorer(spark, sf_dir)
+    feed.write_results(messages, out, checkpoint, scorer, available_now=True).awaitTermination()
     return _rounded(tables.read_results(spark, out), 5, "confidence").select(_OUT_COLUMNS)
 
 
@@ -869,7 +874,8 @@ def stream_scored_feed(spark, sf_dir):
 )
 def stream_fanout_counts(spark, sf_dir):
     out, shown, checkpoint = (run_dir(spark, name) for name in ("results", "feed", "checkpoint"))
-    feed.fan_out(_scored_stream(spark, sf_dir), out, shown, checkpoint, available_now=True).awaitTermination()
+    messages, scorer = _messages_and_scorer(spark, sf_dir)
+    feed.fan_out(messages, out, shown, checkpoint, scorer=scorer, available_now=True).awaitTermination()
     stored = feed.read_fanned_results(spark, out)
     latest = feed.read_feed(spark, shown)
     return stored.agg(F.count(F.lit(1)).alias("results"), F.max("timestamp").alias("newest")).select(

@@ -8,7 +8,7 @@ from hunkwise.operators import diffs as diff_ops, enrich, ingest, results as rea
 
 
 def score_snippets(snippets: DataFrame, weights: DataFrame) -> DataFrame:
-    """Snippets to result rows with a weights table; narrow up to the dictionary bound."""
+    """Snippets to result rows with a weights table."""
     return scoring.as_results(scoring.with_label(scoring.linear_logits(enrich.scorable(snippets), weights)))
 
 

@@ -57,14 +57,18 @@ def malformed(messages: DataFrame) -> DataFrame:
     return _parsed(messages).filter(_malformed()).select("value")
 
 
-def kafka_options(brokers: str, topic: str = TOPIC) -> dict[str, str]:
-    """Options of a reader."""
+def kafka_options(brokers: str, topic: str = TOPIC, group: str | None = None) -> dict[str, str]:
+    """Options of a reader; offsets that have expired are an error.
+
+    Without ``group`` every query gets a group of its own, so that they do not
+    disturb each other; progress is in the checkpoint either way.
+    """
     return {
         "kafka.bootstrap.servers": brokers,
         "subscribe": topic,
-        "kafka.group.id": GROUP,
+        **({"kafka.group.id": group} if group else {"groupIdPrefix": GROUP}),
         "startingOffsets": "earliest",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "true",
     }
 
 

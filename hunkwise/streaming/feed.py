@@ -38,10 +38,19 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return writer.start()
 
 
-def write_results(results: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Exactly-once append to a results folder."""
-    writer = results.writeStream.outputMode("append").format("parquet").option("path", path)
-    return _start(writer, checkpoint, available_now)
+def write_results(
+    messages: DataFrame, path: str, checkpoint: str, scorer: Scorer | None = None, available_now: bool = False
+) -> StreamingQuery:
+    """Scored messages, appended to a results folder.
+
+    Scoring happens inside the batch, so a scorer may join and aggregate; without
+    one, ``messages`` are results. A repeated batch replaces its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (score_messages(batch, scorer) if scorer else batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _start(messages.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
 def _slot(path: str, batch_id: int) -> str:
@@ -55,9 +64,10 @@ def fan_out(
     checkpoint: str,
     on_result: ResultHandler | None = None,
     limit: int = reads.FEED_LIMIT,
+    scorer: Scorer | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Each result to the results table, to the rolling feed and to a callback.
+    """With ``scorer``, ``results`` are messages that are scored in their batch. Each result to the results table, to the rolling feed and to a callback.
 
     A batch is scored once, on its way to the table; the feed and the callback
     read it back from there. The feed alternates between two folders: a batch
@@ -68,7 +78,8 @@ def fan_out(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         own = f"{results_path}/batch_id={batch_id}"
-        batch.select(RESULT_COLUMNS).write.mode("overwrite").parquet(own)
+        scored = score_messages(batch, scorer) if scorer else batch
+        scored.select(RESULT_COLUMNS).write.mode("overwrite").parquet(own)
         stored = spark.read.parquet(own)
         merged = stored
         if batch_id > 0:

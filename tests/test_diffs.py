@@ -9,36 +9,38 @@ from hunkwise.functions.unified_diff import MODIFIERS
 from hunkwise.operators import diffs as ops
 from hunkwise.schemas import SNIPPET_COLUMNS
 
-SIMPLE = """diff --git a/read.c b/read.c
-index 00aa..11bb 100644
---- a/read.c
-+++ b/read.c
-@@ -1,4 +1,6 @@
--#include "old.h"
--int unused;
-+#include <stdio.h>
-+int read_name(void) {
-+    char name[16];
-+    gets(name);
-+    return name[0];
-+}
+# One file with two hunks: a Python function between other lines, and a removal only.
+SIMPLE = """diff --git a/tools/grid.py b/tools/grid.py
+--- a/tools/grid.py
++++ b/tools/grid.py
+@@ -20,2 +22,7 @@ class Grid:
+ WIDTH = 9
++HEIGHT = 4
++def cells(rows, shift=0):
++    for row in rows:
++        yield [c << shift for c in row]
+-WIDTH = 8
+@@ -80,3 +85,1 @@
+-def unused():
+-    pass
+ end = True
 """
 
-THREE = """diff --git a/util.c b/util.c
-new file mode 100644
---- /dev/null
-+++ b/util.c
-@@ -0,0 +1,11 @@
-+int plus(int x, int y) {
-+    return x + y;
+# Two functions in different languages' forms and a third after a gap of context.
+THREE = """diff --git a/web/total.js b/web/total.js
+index 1..2 100644
+--- a/web/total.js
++++ b/web/total.js
+@@ -5,0 +6,9 @@
++export async function total(cart) {
++  return cart.reduce((sum, item) => sum + item.price, 0);
 +}
-+
-+void copy_raw(char *to, char *from) {
-+    strcpy(to, from);
+ // context
++fn main_loop(state: State) -> bool {
++    state.tick()
 +}
-+
-+long times(long x, long y) {
-+    return x * y;
++func (c *Cart) Clear(force bool) {
++	c.items = nil
 +}
 """
 
@@ -184,14 +186,14 @@ def reference(diff):
 
 def test_simple_diff(spark):
     assert extract(spark, SIMPLE) == [
-        [("read.c", 2, 6, "int read_name(void) {\n    char name[16];\n    gets(name);\n    return name[0];\n}")]
+        [("tools/grid.py", 23, 25, "def cells(rows, shift=0):\n    for row in rows:\n        yield [c << shift for c in row]")]
     ]
 
 
 def test_three_functions(spark):
     (rows,) = extract(spark, THREE)
-    assert [r[:3] for r in rows] == [("util.c", 1, 3), ("util.c", 5, 7), ("util.c", 9, 11)]
-    assert "strcpy(to, from)" in rows[1][3]
+    assert [r[:3] for r in rows] == [("web/total.js", 6, 8), ("web/total.js", 9, 11), ("web/total.js", 12, 14)]
+    assert rows[2][3] == "func (c *Cart) Clear(force bool) {\n\tc.items = nil\n}"
 
 
 def test_empty_and_missing_diff(spark):
@@ -289,9 +291,9 @@ def test_many_functions_in_one_hunk(spark):
 
 
 def test_snippet_id(spark):
-    rows = [("user/repo", "abcdef1234567890", "main.c", 42), ("r", "abc", "x", 1)]
+    rows = [("team/tool", "0123456789abcdef", "src/a b.rs", 7), ("r", "abc", "x", 1)]
     df = spark.createDataFrame(rows, "repo string, commit_sha string, file_path string, start_line int")
-    assert [r.id for r in ops.with_snippet_id(df).collect()] == ["user/repo/abcdef12/main.c#L42", "r/abc/x#L1"]
+    assert [r.id for r in ops.with_snippet_id(df).collect()] == ["team/tool/01234567/src/a b.rs#L7", "r/abc/x#L1"]
 
 
 def test_snippet_lines(spark):

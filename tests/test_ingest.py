@@ -5,13 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from hunkwise.functions.text import CODE_SUFFIXES
 from hunkwise.functions.signature import hmac_sha256_hex
 from hunkwise.operators import enrich, ingest
 from hunkwise.plans import adapters as a, flows
 from hunkwise.schemas import DELIVERY
 from hunkwise.sources import tables
 
-SECRET = "fixture-secret"
+SECRET = "shared by both ends"
 LIMIT = ingest.MAX_BODY_BYTES
 
 
@@ -32,7 +33,7 @@ def statuses(df, *args):
     return [(r.status, r.outcome) for r in ingest.delivery_status(df, *args).orderBy("delivery_id").collect()]
 
 
-@pytest.mark.parametrize("secret", ["", "k", "fixture-secret", "x" * 64, "y" * 65, "é" * 70])
+@pytest.mark.parametrize("secret", ["", "k", "a longer secret", "x" * 64, "y" * 65, "é" * 70])
 def test_hmac_matches_standard_library(spark, secret):
     bodies = [b"", b"{}", b"\x00\xff" * 33, "ünï".encode() * 500]
     df = spark.createDataFrame([(b,) for b in bodies], "body binary")
@@ -41,7 +42,7 @@ def test_hmac_matches_standard_library(spark, secret):
 
 
 def test_signatures(spark):
-    body = b'{"zen":"fixture"}'
+    body = b'{"hook_id": 7, "note": "\xc3\xa9"}'
     good = sign(body)
     df = deliveries(
         spark,
@@ -60,6 +61,12 @@ def test_signatures(spark):
     assert {s for s, _ in statuses(df, "")} == {200}
 
 
+def test_missing_body_needs_a_signature(spark):
+    df = spark.createDataFrame([("d0", "ping", None, None, 1), ("d1", "push", sign(b""), None, 2)], DELIVERY)
+    assert statuses(df, SECRET) == [(401, "unauthorized"), (500, "unparsable")]
+    assert statuses(df, "") == [(200, "pong"), (500, "unparsable")]
+
+
 def test_size_limit(spark):
     sizes = [LIMIT - 1, LIMIT, LIMIT + 64]
     df = spark.createDataFrame([(f"d{i}", "ping", "", n) for i, n in enumerate(sizes)], "delivery_id string, event_type string, signature string, n int")
@@ -132,9 +139,10 @@ def test_pull_request_markers(spark):
 
 def test_code_files(spark):
     paths = {
-        "main.c": True, "lib.go": True, "app.py": True, "index.tsx": True, "Main.java": True, "engine.rs": True,
-        "README.md": False, "config.yaml": False, ".gitignore": False, "image.png": False,
-        "A.HPP": True, "x.cc": True, "x.cpp": True, "x.h": True, "x.js": True, "x.jsx": True, "x.ts": True,
+        **{f"dir.d/part{i}{suffix}": True for i, suffix in enumerate(CODE_SUFFIXES)},
+        **{f"dir/part{i}{suffix.upper()}": True for i, suffix in enumerate(CODE_SUFFIXES)},
+        **{f"dir{suffix}/part": False for suffix in CODE_SUFFIXES},
+        "Makefile": False, "setup.toml": False, "a.c.txt": False, "a.pyc": False, "A.HPP": True, "x.cc": True, "x.cpp": True, "x.h": True, "x.js": True, "x.jsx": True, "x.ts": True,
         "x.c\n": False, "xc": False, ".c": True, "x.c.orig": False, "": False,
     }
     df = spark.createDataFrame([(p,) for p in paths], "file_path string")

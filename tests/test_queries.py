@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from hunkwise.plans import catalog
 
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+# The training-data queries have tests of their own.
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLES
 
 # Per-row Python runs only where a user brings a model, and in Spark's own ML glue.
 PYTHON = {"score_batch", "score_quarantine"}
@@ -56,6 +58,7 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_names(spark):
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(registered.queries()) and set(registered.oracle_sql()) <= set(registered.queries())
     assert set(QUERIES) - set(SQL) == {"score_ml", "training_history"}
 
 

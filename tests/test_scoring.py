@@ -44,27 +44,26 @@ def logits(df):
 def test_linear_logits(spark):
     scored = scoring.linear_logits(snippets(spark), weights(spark), (0.5, -0.5))
     assert logits(scored) == expected_logits(bias=(0.5, -0.5))
-    assert "Exchange" not in plan_of(scoring.linear_logits(snippets(spark), weights(spark)))
 
 
-def test_join_path_gives_the_same(spark):
-    for salts in (1, 16):
-        scored = scoring.linear_logits_by_join(snippets(spark), weights(spark), (0.5, -0.5), salts)
-        assert logits(scored) == expected_logits(bias=(0.5, -0.5))
+def test_missing_code_has_no_tokens(spark):
+    rows = snippets(spark).withColumn("code", F.lit(None).cast("string")).limit(1)
+    out = scoring.with_label(scoring.linear_logits(rows, weights(spark), (0.0, 1.0))).first()
+    assert (out.logit0, out.logit1, out.is_anomalous, out.label) == (0.0, 1.0, True, "vulnerable")
 
 
-def test_big_weights_take_the_join_path(spark, monkeypatch):
-    monkeypatch.setattr(model, "MAX_DICTIONARY_TERMS", 3)
-    scored = scoring.linear_logits(snippets(spark), weights(spark))
-    assert logits(scored) == expected_logits()
-    assert "Join" in scored._jdf.queryExecution().executedPlan().toString()
+def test_weights_and_vocabulary_of_any_size(spark):
+    many = spark.range(200_000).select(F.concat(F.lit("t"), F.col("id")).alias("token"), F.lit(1.0).alias("w0"), F.lit(-1.0).alias("w1"))
+    rows = snippets(spark, ["t1 t199999 t1 other", "x"])
+    assert logits(scoring.linear_logits(rows, many)) == [(3.0, -3.0), (0.0, 0.0)]
+    vocabulary = many.select("token", (F.substring("token", 2, 9).cast("int") + 2).alias("token_id"))
+    ids = [list(r.input_ids) for r in scoring.encode(rows, vocabulary, max_length=4).orderBy("start_line").collect()]
+    assert ids == [[3, 200_001, 3, 1], [1, 0, 0, 0]]
 
 
 def test_repeated_weights_add_up(spark):
-    twice = weights(spark, WEIGHTS + [("f", 1.0, 1.0)])
-    for scorer in (scoring.linear_logits, scoring.linear_logits_by_join):
-        got = logits(scorer(snippets(spark), twice))
-        assert got[5] == (3 * 2.0 + 3 * 0.125, 3 * 3.0 + 3 * 0.25)
+    got = logits(scoring.linear_logits(snippets(spark), weights(spark, WEIGHTS + [("f", 1.0, 1.0)])))
+    assert got[5] == (3 * 2.0 + 3 * 0.125, 3 * 3.0 + 3 * 0.25)
 
 
 def test_empty_weights(spark):
@@ -96,8 +95,6 @@ def test_vocabulary_and_encoding(spark):
     ]
     assert [list(r.attention_mask) for r in rows] == [[1] * 3 + [0] * 5, [1] * 5 + [0] * 3, [0] * 8, [1] * 8]
     assert [r.n_tokens for r in rows] == [3, 5, 0, 600]
-    with pytest.raises(ValueError):
-        scoring.token_vocabulary(df, model.MAX_DICTIONARY_TERMS + 1)
 
 
 def test_undefined_score_is_clean(spark):
@@ -185,7 +182,7 @@ def test_results_keep_the_snippet(spark):
 
 
 def test_scored_once_per_row(spark):
-    """The token fold appears once in the plan, although three columns depend on it."""
+    """Codes are cut into tokens once in the plan, although three columns depend on it."""
     scored = scoring.as_results(scoring.with_label(scoring.linear_logits(snippets(spark), weights(spark))))
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("aggregate(regexp_extract_all") == 1
+    assert plan.count("regexp_extract_all") == 1
