@@ -19,6 +19,8 @@ WINDOW = 13
 SHARE = 20
 K = 5
 WINNOW = WINDOW - K + 1
+# 64-bit words of the bit set of benchmark fingerprints: 1 MB, whatever the benchmark.
+_BIT_WORDS = 1 << 17
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -59,25 +61,70 @@ def winnowed(rows: DataFrame, *columns: str) -> DataFrame:
     return grams.select(*columns, "n_words", prints.alias("prints"))
 
 
-def matches(rows: DataFrame, printed: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, diagonal) of documents and items that share a fingerprint.
+def _bit(hash_: Column) -> tuple[Column, Column]:
+    """Word and bit of a fingerprint in the bit set."""
+    place = F.pmod(hash_, F.lit(64 * _BIT_WORDS))
+    return F.shiftright(place, 6).cast("int"), place.bitwiseAND(63).cast("int")
 
-    Fingerprints are joined without their places; the places are looked up in the
-    texts that have a match. Items shorter than a window are one window each; they
-    are looked up whole, by hashes of all document runs of their lengths. The set
-    of those lengths has at most WINDOW - 1 numbers; without short items nothing is
-    looked up.
-    """
+
+def _bit_set(wanted: DataFrame) -> DataFrame:
+    """One row (bits) with the words of the bit set of all fingerprints of ``wanted``."""
+    word, bit = _bit(F.col("hash"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    words_set = wanted.select(word.alias("word"), one.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = wanted.sparkSession.range(_BIT_WORDS).select(F.col("id").cast("int").alias("word"))
+    filled = every.join(words_set, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return filled.agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+
+
+def wanted_prints(items: DataFrame) -> DataFrame:
+    """(item, item_at, hash) of the fingerprints of the items."""
     item_prints = winnowed(items, "item").select("item", F.explode_outer("prints").alias("hash"))
     item_places = _with_grams(items, "item").select("item", F.posexplode_outer("grams").alias("item_at", "hash"))
-    wanted = materialize(item_places.join(item_prints, ["item", "hash"], "left_semi"), "item-fingerprints")
+    return materialize(item_places.join(item_prints, ["item", "hash"], "left_semi"), "item-fingerprints")
+
+
+def fingerprinted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, doc_id, n_words, prints, text) of all documents.
+
+    Only fingerprints in the bit set of the wanted ones are kept, and the text only
+    beside such ones; the others share no fingerprint with the benchmark. So no
+    join has to move the texts of documents without a match.
+    """
+
+    def may_match(hash_: Column) -> Column:
+        word, bit = _bit(hash_)
+        return F.call_function("getbit", F.get("bits", word), bit) == 1
+
+    # Spark merges the two steps, so the bit set is a constant and no column of any row.
+    beside = winnowed(rows, *KEYS, "doc_id", "text").withColumn("bits", _bit_set(wanted).scalar())
+    prints = beside.withColumn("prints", F.filter("prints", may_match)).drop("bits")
+    text = F.when(F.size("prints") > 0, F.col("text"))
+    return materialize(prints.select(*KEYS, "doc_id", "n_words", "prints", text.alias("text")), "document-fingerprints")
+
+
+def matches(printed: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, item, diagonal) of documents and items that share a fingerprint, and the (key, text) of these documents.
+
+    Fingerprints are joined without their places; the places are looked up in the
+    texts that have a match.
+    """
     shared = printed.select(*KEYS, F.explode("prints").alias("hash")).join(wanted.select("hash").distinct(), "hash", "left_semi")
-    shared = materialize(shared, "shared-fingerprints")
-    touched = rows.join(shared.select(*KEYS).distinct(), KEYS, "left_semi")
+    shared = materialize(shared.select(*KEYS).distinct(), "documents-with-matches")
+    touched = materialize(printed.filter("text IS NOT NULL").select(*KEYS, "text").join(shared, KEYS, "left_semi"), "matched-texts")
     # An inner explode would push a test of its input below, and compute that once more for every word.
     places = _with_grams(touched, *KEYS).select(*KEYS, F.posexplode_outer("grams").alias("at", "hash"))
     found = places.join(wanted, "hash").select(*KEYS, "item", (F.col("at") - F.col("item_at")).alias("diagonal"))
+    return found, touched
+
 
+def short_matches(rows: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``matches``, for the items shorter than a window.
+
+    They are one window each and are looked up whole, by hashes of all document runs
+    of their lengths. The set of those lengths has at most WINDOW - 1 numbers;
+    without short items nothing is looked up.
+    """
     brief = items.filter(F.size("words") < WINDOW).select("item", F.size("words").alias("n"), F.xxhash64("words").alias("hash"))
     brief = materialize(brief, "short-items")
     lengths = brief.agg(F.array_sort(F.collect_set("n"))).scalar()
@@ -87,7 +134,8 @@ def matches(rows: DataFrame, printed: DataFrame, items: DataFrame) -> DataFrame:
     hashes = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("words", i, F.col("n")))))
     hashed = runs.select(*KEYS, "n", F.posexplode_outer(hashes).alias("at", "hash"))
     whole = hashed.join(brief, ["n", "hash"]).select(*KEYS, "item", F.col("at").alias("diagonal"))
-    return found.unionByName(whole).distinct()
+    whole = materialize(whole, "short-matches")
+    return whole, rows.select(*KEYS, "text").join(whole.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
 def _hit(document: Column, item: Column, diagonal: Column) -> Column:
@@ -111,11 +159,14 @@ def check(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_id hits but is in no list.
     """
     rows = keyed(docs)
-    printed = materialize(winnowed(rows, *KEYS, "doc_id"), "document-fingerprints")
     named = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), "text")
     items = named.filter(F.col("text").isNotNull()).dropDuplicates(["item"]).withColumn("words", words(F.col("text")))
     items = materialize(items.filter(F.size("words") > 0), "benchmark-items")
-    found = materialize(matches(rows.filter(F.col("text").isNotNull()), printed, items), "matches")
+    wanted = wanted_prints(items)
+    printed = fingerprinted(rows, wanted)
+    found, texts = matches(printed, wanted)
+    whole, more_texts = short_matches(rows.filter(F.col("text").isNotNull()), items)
+    found = materialize(found.unionByName(whole).distinct(), "matches")
     shared = found.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
     gathered = shared.groupBy(*KEYS).agg(F.collect_list(F.struct("item_id", "item_words", "diagonal")).alias("shared"))
 
@@ -126,7 +177,7 @@ def check(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         return F.filter(pairs, lambda s: F.size(s["places"]) > 0)
 
-    read = rows.join(gathered, KEYS).select(*KEYS, bind(words(F.col("text")), read_off).alias("hits"))
+    read = texts.unionByName(more_texts).join(gathered, KEYS).select(*KEYS, bind(words(F.col("text")), read_off).alias("hits"))
     hits = read.dropDuplicates(KEYS).select(
         *KEYS,
         F.size(F.array_distinct(F.flatten("hits.places"))).cast("bigint").alias("n_hit"),
