@@ -85,9 +85,10 @@ def unenriched(placeholders: DataFrame, snippets: DataFrame) -> DataFrame:
     """Placeholders that no snippet matches.
 
     Only the keys of ``snippets`` count. Every hunk gives a snippet, so the rows
-    of ``diff_hunks`` serve as well and save the cut into functions.
+    of ``diff_hunks`` serve as well and save the cut into functions. Each key is
+    kept once, combined before the shuffle, so a commit of many hunks is no hot key.
     """
-    offered = _offered(snippets.select(FILE_KEY)).select(*COMMIT_KEY, _WANTED)
+    offered = _offered(snippets.select(FILE_KEY)).select(*COMMIT_KEY, _WANTED).distinct()
     return _announced(placeholders).join(offered, [*COMMIT_KEY, _WANTED], "left_anti").select(placeholders.columns)
 
 
