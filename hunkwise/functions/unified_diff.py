@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from hunkwise.functions.text import bind, newline_count, trim_white_space
 
-INT_MAX = 2_147_483_647
+LONG_MAX = (1 << 63) - 1
 # Fixed value: pieces below this many bytes are no function.
 MIN_FUNCTION_BYTES = 10
 
@@ -24,7 +24,7 @@ MODIFIERS = (
 )
 _MOD = rf"(?:{'|'.join(MODIFIERS)}){_WS}++"
 
-# A function start, anchored at a line start. In words: any number of modifiers
+# The forms of a function start, anchored at a line start. In words: any number of modifiers
 # and then "word word (". Written with possessive repeats, which Java runs in a
 # loop; a backtracking form overflows the stack on thousands of modifiers. The
 # words before the parenthesis are a run of modifiers and then zero, one or two
@@ -46,6 +46,10 @@ _ENDS_IN_NAME = rf"(?:pub{_WS}+)?(?:async{_WS}+)?fn{_WS}+\w*"
 _DEAD_RUN = rf"(?:{_MOD}){{65,}}+"
 FUNCTION_START = rf"(?md)^(?:(?:{_ENDS_IN_PAREN})(\()|{_ENDS_IN_NAME}(\w)|{_DEAD_RUN})"
 
+# A line-start receiver, and what must follow its parenthesis.
+_RECEIVER = rf"(?md)^func(?={_WS}++\()"
+_NAME_AND_PAREN = rf"\A{_WS}*+\w++{_WS}*+\("
+
 # Put before every match: two bytes, and a third one (the character captured at
 # its end) at a function start only. Lines are compared by length with the
 # unmarked ones, so no text can be mistaken for a mark.
@@ -72,9 +76,9 @@ def is_hunk(segment: Column) -> Column:
 
 
 def hunk_start(segment: Column) -> Column:
-    """First line on the new side; numbers beyond 32 bits are set to the largest one."""
+    """First line on the new side, 64 bits; a longer number counts as the largest one."""
     digits = F.regexp_extract(segment, rf"\A{_HUNK_HEADER}", 1)
-    return F.least(F.coalesce(digits.try_cast("bigint"), F.lit(INT_MAX)), F.lit(INT_MAX)).cast("int")
+    return F.coalesce(digits.try_cast("bigint"), F.lit(LONG_MAX))
 
 
 _ADDED = r"(?md)^\+(?!\+\+)"
@@ -91,22 +95,43 @@ def added_lines(segment: Column) -> Column:
 
 
 def _line_number(base: Column, offset: Column) -> Column:
-    return F.least(base.cast("bigint") + offset.cast("bigint"), F.lit(INT_MAX)).cast("int")
+    """``base + offset``; a sum beyond 64 bits, which no real diff has, counts as the largest number."""
+    return F.coalesce(F.try_add(base.cast("bigint"), offset.cast("bigint")), F.lit(LONG_MAX))
 
 
 def _snippet(code: Column, start: Column, end: Column) -> Column:
     return F.struct(
-        code.alias("code"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line")
+        code.alias("code"), start.cast("bigint").alias("start_line"), end.cast("bigint").alias("end_line")
     )
 
 
+def _without_dead_receivers(code: Column) -> Column:
+    """``code`` in which a receiver ``func (`` that starts no function reads ``Func (``.
+
+    A receiver ends at the next ``)``, so whether a function starts depends only on
+    what follows that ``)`` and is the same for all of a stretch. Decided once per
+    stretch, no receiver is searched in vain. All lengths stay as they are, and
+    ``Func`` is a word like ``func`` to the other forms of a start.
+    """
+
+    def stretches(parts: Column) -> Column:
+        def quiet(part: Column, i: Column) -> Column:
+            named = F.coalesce(F.get(parts, i + 1).rlike(_NAME_AND_PAREN), F.lit(False))
+            return F.when(named, part).otherwise(F.regexp_replace(part, _RECEIVER, "Func"))
+
+        return F.array_join(F.transform(parts, quiet), ")")
+
+    return F.when(code.rlike(_RECEIVER), bind(F.split(code, r"\)", -1), stretches)).otherwise(code)
+
+
 def functions_in(lines: Column, base_line: Column) -> Column:
     """Function pieces of a hunk's added lines: array of (code, start_line, end_line).
 
     Work is linear in the text: the starts are found in one pass, and each piece
     is a slice of the lines.
     """
-    marked = F.split(F.regexp_replace(F.array_join(lines, "\n"), FUNCTION_START, _MARKED), "\n", -1)
+    searched = bind(F.array_join(lines, "\n"), _without_dead_receivers)
+    marked = F.split(F.regexp_replace(searched, FUNCTION_START, _MARKED), "\n", -1)
 
     def starts(both: Column) -> Column:
         def is_start(i: Column) -> Column:

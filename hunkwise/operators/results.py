@@ -51,14 +51,30 @@ def with_defaults(results: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
-def latest(results: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def newest_days(results: DataFrame, limit: int, day: str) -> DataFrame:
+    """The rows of the newest days that hold at least ``limit`` rows together.
+
+    ``day`` is the partition column of a stored table: its row counts per day come
+    from the file footers, and of the older days nothing else is read.
+    """
+    counts = results.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
+    reached = F.sum("rows").over(Window.orderBy(F.desc(day)))
+    floor = counts.withColumn("reached", reached).filter(F.col("reached") >= limit).agg(F.max(day)).scalar()
+    lowest = F.coalesce(floor, F.lit("0001-01-01").cast("date"))
+    # Rows without a time are the oldest; they only count when the dated ones are too few.
+    return results.filter((F.col(day) >= lowest) | (floor.isNull() & F.col(day).isNull()))
+
+
+def latest(results: DataFrame, limit: int = LIST_LIMIT, day: str | None = None) -> DataFrame:
     """The newest rows with their ``rank`` and the ``total`` of the same snapshot.
 
     The total is a scalar subquery over no columns, so it reads row counts only.
+    ``day`` names the partition column of a stored table, to leave old days unread.
     """
     order = _order(NEWEST)
     total = results.agg(F.count(F.lit(1))).scalar()
-    return _ranked(results.orderBy(*order).limit(limit), order).withColumn("total", total)
+    recent = newest_days(results, limit, day) if day else results
+    return _ranked(recent.orderBy(*order).limit(limit), order).withColumn("total", total)
 
 
 def _last_write(results: DataFrame, arrival: str) -> DataFrame:

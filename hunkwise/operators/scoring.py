@@ -201,10 +201,14 @@ def with_label(scored: DataFrame) -> DataFrame:
 def as_results(scored: DataFrame, processed_at: Column | None = None) -> DataFrame:
     """Result rows of labelled snippets.
 
-    The id is built from the snippet, so that a retried task gives the same one.
+    The id is the snippet's, followed by a hash of the whole snippet and the time of
+    its announcement, so a retried task gives the same one and two announcements of
+    one snippet give two.
     Scorers that do not time single records leave ``latency_ms`` NULL.
     """
-    rows = with_snippet_id(scored)
+    parts = ("repo", "commit_sha", "file_path", "start_line", "end_line", "timestamp", "code")
+    digest = F.md5(F.concat_ws("\n", *(F.col(part).cast("string") for part in parts)))
+    rows = with_snippet_id(scored).withColumn("id", F.concat("id", F.lit("@"), digest))
     if "latency_ms" not in rows.columns:
         rows = rows.withColumn("latency_ms", F.lit(None).cast("float"))
     if processed_at is not None:

@@ -49,8 +49,8 @@ _RESULT_EXPRESSIONS = {
         "concat('src/', event_type, '/F', event_id % 97, case event_id % 6 when 0 then '.c' "
         "when 1 then '.go' when 2 then '.py' when 3 then '.TS' when 4 then '.md' else '.java' end)"
     ),
-    "start_line": "cast(event_id % 200 + 1 as int)",
-    "end_line": "cast(event_id % 200 + 3 as int)",
+    "start_line": "cast(event_id % 200 + 1 as bigint)",
+    "end_line": "cast(event_id % 200 + 3 as bigint)",
     "code": (
         "concat('int f', event_id, '(int a) {', chr(10), '  return ', event_id % 9, '; // ', event_type, chr(10), '}')"
     ),
@@ -341,7 +341,7 @@ CTES = {
     ),
     "a_snippets": (
         "SELECT code, concat('org/repo', doc_id % 20) AS repo, md5(concat('d', doc_id)) AS commit_sha, file_path, "
-        "cast(start_line AS int) AS start_line, cast(start_line + length(code) - length(replace(code, chr(10), '')) AS int) AS end_line, "
+        "cast(start_line AS bigint) AS start_line, cast(start_line + length(code) - length(replace(code, chr(10), '')) AS bigint) AS end_line, "
         f"cast({STAMP_MS} AS bigint) AS timestamp FROM ("
         f"SELECT doc_id, rtrim(concat(title, chr(10), coalesce(lines, '')), {WHITE_SPACE_SQL}) AS code, "
         "concat('src/d', doc_id, '.c') AS file_path, doc_id % 50 + 1 + pos AS start_line FROM a_groups "
@@ -354,8 +354,8 @@ CTES = {
         "SELECT event_id, event_id % 11 = 0 AS malformed, CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('int f', event_id, '(int a) {', chr(10), "
         "'  return ', event_type, '; // ', CASE event_id % 4 WHEN 0 THEN 'the' WHEN 1 THEN 'de' WHEN 2 THEN 'und' ELSE 'la' END, chr(10), '}') END AS code, "
         "concat('org/app', user_id % 50) AS repo, md5(concat('c', event_id)) AS commit_sha, concat('src/f', event_id, '.c') AS file_path, "
-        "cast(CASE WHEN event_id % 17 = 0 THEN 0 ELSE event_id % 200 + 1 END AS int) AS start_line, "
-        "cast(CASE WHEN event_id % 17 = 0 THEN 0 ELSE event_id % 200 + 3 END AS int) AS end_line, "
+        "cast(CASE WHEN event_id % 17 = 0 THEN 0 ELSE event_id % 200 + 1 END AS bigint) AS start_line, "
+        "cast(CASE WHEN event_id % 17 = 0 THEN 0 ELSE event_id % 200 + 3 END AS bigint) AS end_line, "
         "CASE WHEN event_id % 17 = 0 THEN 0 ELSE event_id + 1 END AS timestamp FROM events"
     ),
     "a_labelled": (

@@ -19,6 +19,7 @@ from hunkwise.operators import (
     training,
 )
 from hunkwise.plans import adapters as a, flows
+from hunkwise.schemas import RESULT
 from hunkwise.session import run_dir
 from hunkwise.sources import bus, tables
 from hunkwise.streaming import feed, live
@@ -81,19 +82,19 @@ def snippet_bus_roundtrip(spark, sf_dir):
 
 @query(
     "bus_malformed_quarantine",
-    "SELECT CASE WHEN malformed THEN 'malformed' ELSE 'decoded' END AS kind, count(*) AS messages, "
-    "cast(coalesce(sum(CASE WHEN NOT malformed THEN start_line END), 0) AS bigint) AS start_lines FROM a_messages GROUP BY 1",
+    "SELECT 'decoded' AS kind, file_path, start_line, '' AS value FROM a_messages WHERE NOT malformed UNION ALL "
+    "SELECT 'malformed', '', 0, concat('{\"code\":\"', replace(code, chr(10), '\\n'), '\",\"repo\":\"', repo, '\",\"commit_sha\":\"', commit_sha, "
+    "'\",\"file_path\":\"', file_path, '\"', CASE WHEN event_id % 17 = 0 THEN '' ELSE concat(',\"start_line\":', start_line, "
+    "',\"end_line\":', end_line, ',\"timestamp\":', timestamp) END) FROM a_messages WHERE malformed",
     "a_messages",
 )
 def bus_malformed_quarantine(spark, sf_dir):
     incoming = a.messages(spark, sf_dir)
-    good = bus.decode(incoming).select(F.lit("decoded").alias("kind"), "start_line")
-    bad = bus.malformed(incoming).select(F.lit("malformed").alias("kind"), F.lit(0).alias("start_line"))
-    return (
-        good.unionByName(bad)
-        .groupBy("kind")
-        .agg(F.count(F.lit(1)).alias("messages"), F.sum("start_line").alias("start_lines"))
+    good = bus.decode(incoming).select(F.lit("decoded").alias("kind"), "file_path", "start_line", F.lit("").alias("value"))
+    bad = bus.malformed(incoming).select(
+        F.lit("malformed").alias("kind"), F.lit("").alias("file_path"), F.lit(0).cast("bigint").alias("start_line"), "value"
     )
+    return good.unionByName(bad)
 
 
 @query(
@@ -122,6 +123,43 @@ def incident_report_header(spark, sf_dir):
     return reads.report_header(a.results(spark, sf_dir), **_REPORT)
 
 
+_STORED_COLUMNS = ("id", "file_path", "timestamp", "confidence", "latency_ms")
+
+
+@query(
+    "incident_report_rows",
+    "SELECT id, file_path, timestamp, round(cast(confidence AS double), 5) AS confidence, round(cast(latency_ms AS double), 4) AS latency_ms "
+    "FROM a_results WHERE is_anomalous AND (contains(lower(file_path), 'app4') OR contains(lower(repo), 'app4') "
+    "OR contains(lower(commit_sha), 'app4') OR contains(lower(label), 'app4'))",
+    "a_results",
+)
+def incident_report_rows(spark, sf_dir):
+    """The body of a written report, read back."""
+    folder = run_dir(spark, "report")
+    reads.write_report(a.results(spark, sf_dir), folder, **_REPORT)
+    rows = spark.read.schema(RESULT).json(f"{folder}/anomalies")
+    return _rounded(_rounded(rows, 5, "confidence"), 4, "latency_ms").select(*_STORED_COLUMNS)
+
+
+@query(
+    "append_results",
+    "SELECT id, file_path, timestamp, round(CASE WHEN event_id % 5 = 0 THEN 1 - cast(confidence AS double) ELSE cast(confidence AS double) END, 5) AS confidence, "
+    "round(cast(latency_ms AS double), 4) AS latency_ms FROM a_results",
+    "a_results",
+)
+def append_results(spark, sf_dir):
+    """Every fifth result is appended again, with the same time and another score: the later arrival counts."""
+    folder = run_dir(spark, "results")
+    first = a.results(spark, sf_dir)
+    again = first.filter(F.substring("id", -1, 1).isin("0", "5")).withColumn(
+        "confidence", (1 - F.col("confidence").cast("double")).cast("float")
+    )
+    tables.append_results(first, folder, arrival=1)
+    tables.append_results(again, folder, arrival=2)
+    rows = reads.get_by_ids(tables.read_results(spark, folder), first.select("id"), "arrival")
+    return _rounded(_rounded(rows, 5, "confidence"), 4, "latency_ms").select(*_STORED_COLUMNS)
+
+
 # --- ingest -------------------------------------------------------------------
 
 
@@ -175,7 +213,7 @@ def delivery_summary(spark, sf_dir):
 
 
 _PLACEHOLDER_SQL = (
-    "SELECT '' AS code, repo, commit_sha, file_path, cast(0 AS int) AS start_line, cast(0 AS int) AS end_line, "
+    "SELECT '' AS code, repo, commit_sha, file_path, cast(0 AS bigint) AS start_line, cast(0 AS bigint) AS end_line, "
     f"o_orderkey * 1000 + {a.FIRST_DELIVERY_MS} AS timestamp FROM "
 )
 
@@ -227,7 +265,7 @@ def diff_files(spark, sf_dir):
 
 @query(
     "diff_hunks",
-    f"SELECT {_REPO_SHA}, file_path, cast(hunk_seq AS int) AS hunk_seq, cast(start_line AS int) AS start_line, "
+    f"SELECT {_REPO_SHA}, file_path, cast(hunk_seq AS int) AS hunk_seq, cast(start_line AS bigint) AS start_line, "
     "cast(added_lines AS int) AS added_lines FROM ("
     "SELECT doc_id, concat('src/d', doc_id, '.c') AS file_path, 1 AS hunk_seq, doc_id % 50 + 1 AS start_line, "
     "count(*) FILTER (WHERE NOT starts_with(l, '++')) + count(*) FILTER (WHERE doc_id % 7 <> 0 AND i % 4 = 0) AS added_lines "
@@ -262,7 +300,7 @@ def snippet_id(spark, sf_dir):
 
 @query(
     "snippet_lines",
-    "SELECT repo, commit_sha, file_path, start_line, cast(start_line + i - 1 AS int) AS line_number, content FROM ("
+    "SELECT repo, commit_sha, file_path, start_line, cast(start_line + i - 1 AS bigint) AS line_number, content FROM ("
     "SELECT *, unnest(string_split(code, chr(10))) AS content, generate_subscripts(string_split(code, chr(10)), 1) AS i "
     "FROM a_snippets WHERE code <> '')",
     "a_snippets",
@@ -275,19 +313,13 @@ def snippet_lines(spark, sf_dir):
 
 @query(
     "scorable_snippets",
-    "SELECT CASE WHEN code = '' THEN 'refused' ELSE 'scorable' END AS kind, count(*) AS snippets, "
-    "cast(sum(strlen(code)) AS bigint) AS code_bytes FROM a_messages WHERE NOT malformed GROUP BY 1",
+    "SELECT CASE WHEN code = '' THEN 'empty code' ELSE '' END AS reason, file_path, start_line, code FROM a_messages WHERE NOT malformed",
     "a_messages",
 )
 def scorable_snippets(spark, sf_dir):
     snippets = bus.decode(a.messages(spark, sf_dir))
-    good = enrich.scorable(snippets).select(F.lit("scorable").alias("kind"), "code")
-    bad = enrich.unscorable(snippets).select(F.lit("refused").alias("kind"), "code")
-    return (
-        good.unionByName(bad)
-        .groupBy("kind")
-        .agg(F.count(F.lit(1)).alias("snippets"), F.sum(F.octet_length("code")).alias("code_bytes"))
-    )
+    good = enrich.scorable(snippets).withColumn("reason", F.lit(""))
+    return good.unionByName(enrich.unscorable(snippets)).select("reason", "file_path", "start_line", "code")
 
 
 # --- joins --------------------------------------------------------------------
@@ -439,14 +471,18 @@ def score_label(spark, sf_dir):
 
 
 _RESULT_OUT = "id, repo, commit_sha, file_path, start_line, end_line, code, is_anomalous, confidence, label"
-_WITH_ID = "*, concat(repo, '/', substr(commit_sha, 1, 8), '/', file_path, '#L', start_line) AS id"
+_WITH_ID = (
+    "*, concat(repo, '/', substr(commit_sha, 1, 8), '/', file_path, '#L', start_line, '@', "
+    "md5(concat_ws(chr(10), repo, commit_sha, file_path, start_line, end_line, timestamp, code))) AS id"
+)
 _OUT_COLUMNS = _RESULT_OUT.split(", ")
+_ANNOUNCED_AT = f"p.o_orderkey * 1000 + {a.FIRST_DELIVERY_MS} AS timestamp"
 
 
 @query(
     "scored_snippets",
-    "WITH announced AS (SELECT s.* FROM a_snippets s JOIN a_push_files p ON p.repo = s.repo AND p.commit_sha = s.commit_sha "
-    "AND p.file_path = s.file_path UNION ALL SELECT s.* FROM a_snippets s JOIN a_pr_markers p ON p.repo = s.repo AND p.commit_sha = s.commit_sha), "
+    f"WITH announced AS (SELECT s.* REPLACE ({_ANNOUNCED_AT}) FROM a_snippets s JOIN a_push_files p ON p.repo = s.repo AND p.commit_sha = s.commit_sha "
+    f"AND p.file_path = s.file_path UNION ALL SELECT s.* REPLACE ({_ANNOUNCED_AT}) FROM a_snippets s JOIN a_pr_markers p ON p.repo = s.repo AND p.commit_sha = s.commit_sha), "
     f"scored AS ({_logits_sql('announced', 'k')}), labelled AS ({_LABELLED_SQL}) SELECT {_RESULT_OUT} FROM (SELECT {_WITH_ID} FROM labelled)",
     "a_snippets",
     "a_push_files",
@@ -510,12 +546,14 @@ def score_batch(spark, sf_dir):
 
 @query(
     "score_quarantine",
-    "SELECT CASE WHEN contains(code, 'new text') THEN 'not code' ELSE '' END AS error, count(*) AS snippets FROM a_snippets GROUP BY 1",
+    "SELECT repo, commit_sha, file_path, start_line, CASE WHEN contains(code, 'new text') THEN 'not code' ELSE '' END AS error FROM a_snippets",
     "a_snippets",
 )
 def score_quarantine(spark, sf_dir):
     scored = scoring.batch_logits(_snippets(spark, sf_dir), _length_model("new text"), on_error="quarantine")
-    return scored.groupBy(F.coalesce("error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("snippets"))
+    good, bad = scoring.split_failures(scored)
+    columns = ["repo", "commit_sha", "file_path", "start_line"]
+    return good.select(*columns, F.lit("").alias("error")).unionByName(bad.select(*columns, "error"))
 
 
 @query("score_ml")
@@ -541,6 +579,15 @@ def latest_anomalies(spark, sf_dir):
     )
 
 
+@query("latest_stored", ORACLES["latest_anomalies"])
+def latest_stored(spark, sf_dir):
+    """The same from the stored table, of which only the newest days are read."""
+    folder = run_dir(spark, "results")
+    tables.append_results(a.results(spark, sf_dir), folder)
+    newest = reads.latest(tables.read_results(spark, folder), day="day")
+    return _rounded(newest, 5, "confidence").select("id", "timestamp", "confidence", "rank", "total")
+
+
 _LAST_SQL = (
     "SELECT id, timestamp, round(cast(confidence AS double), 5) AS confidence, label FROM "
     "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY timestamp DESC) AS age FROM a_result_log) WHERE age = 1"
@@ -886,17 +933,11 @@ def stream_fanout_counts(spark, sf_dir):
     )
 
 
-# Append mode keeps windows open until the watermark passes their end.
-_CLOSED = (
-    f"HAVING bucket_ms + {DAY_MS} <= (SELECT max(timestamp) FROM a_results) - 600000"
-)
-
-
-@query("stream_latency_windows", _bucket_sql(DAY_MS, _CLOSED), "a_results")
+@query("stream_latency_windows", ORACLES["latency_buckets"])
 def stream_latency_windows(spark, sf_dir):
     out, checkpoint = run_dir(spark, "windows"), run_dir(spark, "checkpoint")
     stream = a.stream_results(spark, sf_dir)
-    live.write_latency_windows(stream, out, checkpoint, "1 day", available_now=True).awaitTermination()
+    live.write_latency_windows(stream, out, checkpoint, available_now=True).awaitTermination()
     return _shown(live.read_latency_windows(spark, out))
 
 

@@ -27,7 +27,8 @@ def deliveries_to_results(
     asked = ingest.placeholders(deliveries, secret)
     if small_batch:
         diffs = enrich.announced_diffs(diffs, asked)
-    return score_snippets(enrich.enrich(asked, diff_ops.function_snippets(diffs, timestamp)), weights)
+    snippets = diff_ops.function_snippets(diffs, timestamp)
+    return score_snippets(enrich.enrich(asked, snippets, diff_ops.diff_hunks(diffs)), weights)
 
 
 def repo_risk(diffs: DataFrame, weights: DataFrame, timestamp: int) -> DataFrame:

@@ -48,7 +48,7 @@ PULL_REQUEST_EVENT = _struct(
 
 # The message on the bus; times are epoch milliseconds.
 SNIPPET = _struct(
-    code=S, repo=S, commit_sha=S, file_path=S, start_line=I, end_line=I, timestamp=L
+    code=S, repo=S, commit_sha=S, file_path=S, start_line=L, end_line=L, timestamp=L
 )
 SNIPPET_COLUMNS = SNIPPET.fieldNames()
 
@@ -59,8 +59,8 @@ RESULT = _struct(
     repo=S,
     commit_sha=S,
     file_path=S,
-    start_line=I,
-    end_line=I,
+    start_line=L,
+    end_line=L,
     code=S,
     is_anomalous=B,
     confidence=F32,
@@ -69,6 +69,8 @@ RESULT = _struct(
     timestamp=L,
 )
 RESULT_COLUMNS = RESULT.fieldNames()
+# A row of the results table; its partition columns come on top.
+STORED_RESULT = T.StructType([*RESULT.fields, T.StructField("arrival", L)])
 
 _METRICS = _struct(accuracy=F64, f1=F64, precision=F64, recall=F64)
 HISTORY = _struct(epoch=I, train_loss=F64, val_loss=F64, train=_METRICS, val=_METRICS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkwise.schemas import DELIVERY, DIFF, HISTORY, RESULT_COLUMNS
+from hunkwise.schemas import DELIVERY, DIFF, HISTORY, RESULT_COLUMNS, STORED_RESULT
 
 # What Spark reads as one split by default.
 SPLIT_BYTES = 128 << 20
@@ -45,18 +45,24 @@ def with_day(results: DataFrame) -> DataFrame:
     return results.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), days))
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Appends to the results table, partitioned by day.
+def stored_form(results: DataFrame, arrival: int | None = None) -> DataFrame:
+    """Results with their ``day`` and ``arrival``, a number that grows from write to write.
 
-    The rebalance hint sizes the files and lets AQE split a day that has most of
-    the rows; a plain repartition would send that day to one task.
+    Without one it is the time of the write in milliseconds. The rebalance hint
+    sizes the files and lets AQE split a day that has most of the rows; a plain
+    repartition would send that day to one task.
     """
-    sized = with_day(results.select(RESULT_COLUMNS)).hint("rebalance", "day")
-    sized.write.mode("append").partitionBy("day").parquet(path)
+    at = F.unix_millis(F.current_timestamp()) if arrival is None else F.lit(arrival).cast("bigint")
+    return with_day(results.select(RESULT_COLUMNS).withColumn("arrival", at)).hint("rebalance", "day")
+
+
+def append_results(results: DataFrame, path: str, arrival: int | None = None) -> None:
+    """Appends to the results table, partitioned by day."""
+    stored_form(results, arrival).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(STORED_RESULT).parquet(path)
 
 
 def save_bucketed(table: DataFrame, name: str, keys: list[str], buckets: int) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hunkwise.operators import enrich, results as reads, scoring
 from hunkwise.schemas import RESULT_COLUMNS
-from hunkwise.sources import bus
+from hunkwise.sources import bus, tables
 
 Scorer = Callable[[DataFrame], DataFrame]
 ResultHandler = Callable[[DataFrame, int], None]
@@ -48,7 +48,8 @@ def write_results(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (score_messages(batch, scorer) if scorer else batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        scored = score_messages(batch, scorer) if scorer else batch
+        tables.stored_form(scored).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
 
     return _start(messages.writeStream.foreachBatch(write), checkpoint, available_now)
 
@@ -79,8 +80,8 @@ def fan_out(
         spark = batch.sparkSession
         own = f"{results_path}/batch_id={batch_id}"
         scored = score_messages(batch, scorer) if scorer else batch
-        scored.select(RESULT_COLUMNS).write.mode("overwrite").parquet(own)
-        stored = spark.read.parquet(own)
+        tables.stored_form(scored).write.mode("overwrite").partitionBy("day").parquet(own)
+        stored = tables.read_results(spark, own).select(RESULT_COLUMNS)
         merged = stored
         if batch_id > 0:
             merged = spark.read.parquet(_slot(feed_path, batch_id - 1)).select(RESULT_COLUMNS).unionByName(stored)
@@ -103,7 +104,7 @@ def counted_rows(query: StreamingQuery, name: str) -> int:
 
 
 def read_fanned_results(spark: SparkSession, results_path: str) -> DataFrame:
-    return spark.read.parquet(results_path).select(*RESULT_COLUMNS, "batch_id")
+    return tables.read_results(spark, results_path).select(*RESULT_COLUMNS, "batch_id")
 
 
 def read_feed(spark: SparkSession, feed_path: str) -> DataFrame:

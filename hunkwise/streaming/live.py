@@ -8,12 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 from hunkwise.operators import latency, results as reads
 from hunkwise.streaming.feed import _slot, _start
 
+WIDTH = f"{latency.BUCKET_MS // 1000} seconds"
 LATENESS = "10 minutes"
 
 
-def latency_windows(
-    results: DataFrame, width: str = f"{latency.BUCKET_MS // 1000} seconds", lateness: str = LATENESS
-) -> DataFrame:
+def latency_windows(results: DataFrame, width: str = WIDTH, lateness: str = LATENESS) -> DataFrame:
     """(window start, latency, n) of a result stream.
 
     State is one counter per different latency of a window, spread by its hash;
@@ -26,15 +25,31 @@ def latency_windows(
 
 
 def write_latency_windows(
-    results: DataFrame, path: str, checkpoint: str, width: str, lateness: str = LATENESS, available_now: bool = False
+    results: DataFrame,
+    path: str,
+    checkpoint: str,
+    width: str = WIDTH,
+    lateness: str = LATENESS,
+    available_now: bool = False,
 ) -> StreamingQuery:
+    """The counters that a batch changed, in a folder of its own; open windows are included."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
     windows = latency_windows(results, width, lateness)
-    writer = windows.writeStream.outputMode("append").format("parquet").option("path", path)
-    return _start(writer, checkpoint, available_now)
+    return _start(windows.writeStream.outputMode("update").foreachBatch(write), checkpoint, available_now)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows beyond ``lateness`` that were left out, in the batches that the query still reports."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
 
 
 def read_latency_windows(spark: SparkSession, path: str) -> DataFrame:
-    return latency.buckets_from_counts(spark.read.parquet(path))
+    """Series so far. A counter only grows, so its largest value is the last one."""
+    counters = spark.read.parquet(path).groupBy("bucket_ms", "latency_ms").agg(F.max("n").alias("n"))
+    return latency.buckets_from_counts(counters)
 
 
 def running_stats(results: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

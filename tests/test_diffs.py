@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from conftest import plan_of
@@ -225,6 +226,9 @@ EDGES = {
     "white space ends": hunk("+int f(int a) {", "+}　 ", "+\xa0", "+"),
     "header in context": "+++ x.c\n@@ -1 +1 @@\n+a\n @@ -1 +7 @@\n+b\n@@ bad @@\n+c\n@@ -1,2 +9 @@ f\n+d",
     "huge number": "+++ x.c\n@@ -1 +99999999999 @@\n+a",
+    "beyond 64 bits": "+++ x.c\n@@ -1 +99999999999999999999 @@\n+a",
+    "dead receivers": hunk("+func (", "+func (a", "+int f(b) {", "+func (c", "+) x(d) {", "+func (e", "+static int g(h"),
+    "word before a receiver": hunk("+int", "+func (a", "+func (b", "+) named (c) {", "+}"),
     "no path": "@@ -1 +1 @@\n+a",
     "blank path": "+++ b/\n@@ -1 +1 @@\n+a",
     "only removed": hunk("-a", " b"),
@@ -237,11 +241,19 @@ EDGES = {
 def test_edge_cases(spark):
     texts = list(EDGES.values())
     expected = [reference(t) for t in texts]
-    expected[list(EDGES).index("huge number")] = [("x.c", 2147483647, 2147483647, "a")]
+    expected[list(EDGES).index("beyond 64 bits")] = [("x.c", (1 << 63) - 1, (1 << 63) - 1, "a")]
     for name, got, want in zip(EDGES, extract(spark, *texts), expected):
         assert got == want, name
 
 
+def test_many_open_receivers(spark):
+    """Takes seconds: no receiver is searched to the end of the hunk."""
+    began = time.monotonic()
+    (whole,) = extract(spark, hunk(*["+func ("] * 200_000))[0]
+    assert whole[3].count("func (") == 200_000
+    assert time.monotonic() - began < 30
+
+
 LINES = st.sampled_from(
     [
         "int f(int a) {", "static", "static inline", "const unsigned long x (", "foo bar(", "else if (x) {", "}", "",

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,21 @@ def test_enrichment(spark):
     assert left == [("q", "s2", "b.go"), ("r", "s2", "a.c"), ("r", "s9", "PR#5")]
 
 
+def test_code_passes_one_exchange(spark, tmp_path):
+    path = str(tmp_path / "snippets")
+    spark.createDataFrame(SNIPPETS, COLUMNS).write.parquet(path)
+    asked = placeholders(spark, ("r", "s1", "a.c", 100), ("r", "s1", "PR#4", 200))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = enrich.enrich(asked, spark.read.parquet(path))._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\bcode#", plan)) == 1
+
+
 def test_announced_diffs(spark):
     diffs = spark.createDataFrame([("r", "s1", "d1"), ("r", "s9", "d2"), ("q", "s1", "d3")], "repo string, commit_sha string, diff string")
     asked = placeholders(spark, ("r", "s1", "a.c", 1), ("r", "s1", "PR#4", 2), ("x", "s9", "b.c", 3))

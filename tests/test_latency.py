@@ -1,3 +1,4 @@
+import math
 import random
 import struct
 

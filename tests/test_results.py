@@ -151,6 +151,20 @@ def test_results_table_by_day(spark, tmp_path):
     assert one.count() == 2
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+    # The newest day has one row, the two newest three: the oldest day is left out, and the total still counts it.
+    newest = reads.latest(stored, 2, day="day")
+    assert [(r.id, r.total) for r in newest.orderBy("rank").collect()] == [("anomaly-2", 4), ("anomaly-9", 4)]
+    assert sorted(str(r.day) for r in reads.newest_days(stored, 2, "day").select("day").collect()) == ["1970-01-02", "1970-01-02", "1970-01-03"]
+    assert reads.newest_days(stored, 50, "day").count() == 4
+
+
+def test_last_arrival_counts(spark, tmp_path):
+    path = str(tmp_path / "results")
+    tables.append_results(table(spark, result(1, timestamp=5, label="clean")), path, arrival=2)
+    tables.append_results(table(spark, result(1, timestamp=5, label="vulnerable")), path, arrival=1)
+    stored = tables.read_results(spark, path)
+    (row,) = reads.get_by_id(stored, stored.first().id, "arrival").collect()
+    assert row.label == "clean"
 
 
 def test_top_reads_keep_a_bounded_heap(spark, tmp_path):

@@ -175,7 +175,7 @@ def test_wrong_shape_fails(spark):
 def test_results_keep_the_snippet(spark):
     scored = scoring.with_label(scoring.linear_logits(snippets(spark), weights(spark)))
     rows = scoring.as_results(scored, F.lit(99)).orderBy("start_line").collect()
-    assert rows[3].id == "r/abcdef12/f3.c#L3" and rows[3].code == CODES[3] and rows[3].timestamp == 99
+    assert rows[3].id.startswith("r/abcdef12/f3.c#L3@") and rows[3].code == CODES[3] and rows[3].timestamp == 99
     assert rows[0].latency_ms is None
     timed = scoring.as_results(scoring.with_label(scoring.batch_logits(snippets(spark), loader())))
     assert all(r.latency_ms is not None and r.timestamp == 7 for r in timed.collect())
