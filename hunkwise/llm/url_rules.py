@@ -19,15 +19,15 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-# An association rule counts from this share of the labelled URLs, and from this
-# share of those among the URLs with its tokens. Longer combinations than this
-# are not mined.
-MIN_SUPPORT = 0.001
+# An association rule counts from so many labelled URLs, whatever their number,
+# and from this share of those with its tokens.
+MIN_URLS = 10
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 3
 DEFAULT = "allow"
 
 _LABEL = "verdict="
+# The number of a page's document, which its label was joined by: the end of the path, before a file suffix.
+_NUMBER = r"/(\d{1,18})(?:\.\w+)?/?\z"
 
 
 def host(url: Column) -> Column:
@@ -50,10 +50,13 @@ def given_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Different tokens of a URL: host labels, their hyphenated parts, and path parts, marked by where they stand."""
+    """Different tokens of a URL: host labels, their hyphenated parts, and path parts, marked by where they stand.
+
+    The number of the document is no token: a rule on it would look a label up, not judge by a pattern.
+    """
     labels = F.filter(F.split(host, r"[.]"), lambda x: x != "")
     pieces = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-")))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    parts = F.filter(F.split(F.regexp_replace(path, _NUMBER, ""), "/"), lambda x: x != "")
     return F.array_sort(
         F.array_distinct(
             F.concat(
@@ -65,22 +68,25 @@ def tokens(host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_urls: int = MIN_URLS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, verdict, confidence, support) from (tokens, verdict) rows, all of them.
 
-    Combinations of up to ``MAX_TOKENS`` tokens and one verdict. Of nested rules
-    for one verdict the longer stays only if its confidence is higher.
+    Combinations of tokens and one verdict that stand in ``min_urls`` rows or more.
+    Of nested rules for one verdict the longer stays only if its confidence is higher.
     """
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict")).alias("items"))
-    # The verdict's item and MAX_TOKENS others: FP-growth itself has no limit of length, support keeps sets short.
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets).freqItemsets
-    total = baskets.agg(F.count(F.lit(1))).scalar()
+    total = baskets.count()
+    if total < min_urls:
+        baskets = baskets.limit(0)
+    # FP-growth takes a share and rounds its product with the number of rows up.
+    share = (min_urls - 0.5) / max(total, min_urls)
+    found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=0.0).fit(baskets).freqItemsets
     is_label = lambda x: x.startswith(_LABEL)
     sets = found.select(
         F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("antecedent"),
         F.get(F.filter("items", is_label), F.lit(0)).alias("label"),
         "freq",
-    ).filter(F.size("antecedent").between(1, MAX_TOKENS))
+    ).filter(F.size("antecedent") > 0)
     sets = materialize(sets, "itemsets")
     with_label = sets.filter(F.col("label").isNotNull())
     without = sets.filter(F.col("label").isNull()).select("antecedent", F.col("freq").alias("all"))
@@ -132,7 +138,7 @@ def labelled_by_documents(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     The document is the number that ends the path, before a file suffix.
     """
-    number = F.regexp_extract(path(F.col("url")), r"/(\d{1,18})(?:\.\w+)?/?\z", 1)
+    number = F.regexp_extract(path(F.col("url")), _NUMBER, 1)
     numbered = pages.select("url", number.try_cast("bigint").alias("doc_id"))
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     verdicts = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
@@ -151,7 +157,9 @@ def judge(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     ruled = split.withColumn("given", given_rule(F.col("host"), F.col("path"))).withColumn("tokens", tokens(F.col("host"), F.col("path")))
     known = labelled.select(tokens(host(F.col("url")), path(F.col("url"))).alias("tokens"), "verdict")
     rules = mine(known.filter(F.size("tokens") > 0))
-    mined = match(ruled.filter(F.col("given").isNull()), rules)
+    # Many pages of a host have the same tokens. Written first, the verdicts are joined by an exchange of
+    # their own, whose large partitions Spark splits, or broadcast.
+    mined = materialize(match(ruled.filter(F.col("given").isNull()), rules), "url-verdicts")
     return ruled.join(mined, "tokens", "left").select(
         "page_id", "host", "path", F.col("given.rule").alias("rule"),
         F.coalesce("given.verdict", "mined", F.lit(DEFAULT)).alias("verdict"),
