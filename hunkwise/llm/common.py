@@ -53,18 +53,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 3 == 1
 
 
-def learn_sample(labels: DataFrame, label: str, per_class: int, salt: int) -> DataFrame:
-    """Up to ``per_class`` labelled ids of either class: (doc_id, label).
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of all rows that models may learn from.
 
-    The bound is the parameter; the rows are those with the smallest hashes of
-    their ids, so they do not depend on the order of the table. Held-out ids and
-    rows without an id or a label are left out, and an id counts once.
+    Held-out ids and rows without an id or a label are left out, and an id counts once.
     """
-    known = (
+    return (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
     )
+
+
+def learn_sample(labels: DataFrame, label: str, per_class: int, salt: int) -> DataFrame:
+    """Up to ``per_class`` ``learnable`` ids of either class: (doc_id, label).
+
+    The bound is the parameter; the rows are those with the smallest hashes of
+    their ids, so they do not depend on the order of the table.
+    """
+    known = learnable(labels, label)
     order = F.xxhash64("doc_id", F.lit(salt))
     sides = [known.filter(F.col("label") == side).orderBy(order, "doc_id").limit(per_class) for side in (0, 1)]
     return sides[0].unionByName(sides[1])

@@ -15,7 +15,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hunkwise.llm.common import is_held_out, learn_sample, map_batches, materialize, raw_texts
+from hunkwise.llm.common import is_held_out, learn_sample, learnable, map_batches, materialize, raw_texts
+from hunkwise.operators.latency import select_ranks, value_counts
 
 # Bounds: labelled rows of either class that are learnt from, and opponents of each.
 LEARN_ROWS = 4_000
@@ -66,6 +67,10 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(strength - self.threshold, -700, 700)))
 
 
+def strengths(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    return np.array([features(raw) for raw in raw_texts(texts)]).reshape(-1, N_FEATURES) @ weights
+
+
 def _with_features(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep columns, features) of (keep columns, text)."""
 
@@ -101,12 +106,33 @@ def preference_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def threshold(docs: DataFrame, labels: DataFrame, label: str, weights: np.ndarray) -> float:
+    """Quantile, at the share of label 0, of the strengths of all documents that may be learnt from.
+
+    The value of the 1-based rank ``floor(share (n - 1)) + 1``, or its mean with the
+    next one by the rest of the product. Strengths are counted by value and found
+    through bins, so no task holds them all.
+    """
+    rows = docs.select("doc_id", "text").join(learnable(labels, label), "doc_id").select("label", "text")
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(strengths(batch.column("text"), weights))], names=["label", "strength"])
+
+    measured = materialize(map_batches(rows, measure, "label int, strength double"), "ranking-strengths")
+    sizes = {r["label"]: r["rows"] for r in measured.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    total = sizes[0] + sizes[1]
+    # share (total - 1), in whole numbers and a rest.
+    below, rest = divmod(sizes[0] * (total - 1), total)
+    ranks = {"low": lambda n: F.lit(below + 1), "high": lambda n: F.least(F.lit(below + 2), n)}
+    found = select_ranks(value_counts(measured, [], "strength"), [], "strength", ranks).first()
+    return float(found["low"] + (found["high"] - found["low"]) * (rest / total))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Model from at most ``LEARN_ROWS`` labelled rows of either class; held-out rows are never among them.
 
-    The threshold is the quantile of the strengths, over the sampled rows weighted
-    by the true class shares, at the share of label 0. Without both classes all
-    scores are 1/2.
+    The fit is bounded, the ``threshold`` is taken over all rows that may be learnt
+    from. Without both classes all scores are 1/2.
     """
     sample = materialize(learn_sample(labels, label, LEARN_ROWS, salt=1), "ranking-sample")
     chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text")
@@ -116,16 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         return Model(np.zeros(N_FEATURES), 0.0)
     pairs = preference_pairs(rows).select("label", array_to_vector("features").alias("features")).coalesce(FIT_PARTITIONS)
     weights = LogisticRegression(maxIter=60, regParam=1e-3, fitIntercept=False).fit(pairs).coefficients.toArray()
-    usable = labels.filter(F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id")))
-    whole = {r[label]: r["rows"] for r in usable.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).collect()}
-    strength = F.aggregate(
-        F.zip_with("features", F.array(*map(F.lit, weights.tolist())), lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b
-    )
-    scaled = rows.select(strength.alias("strength"), (1000 * F.lit(float(whole[0])) / sizes[0]).alias("w0"), (1000 * F.lit(float(whole[1])) / sizes[1]).alias("w1"), "label")
-    weight = F.greatest(F.when(F.col("label") == 1, F.col("w1")).otherwise(F.col("w0")).cast("bigint"), F.lit(1))
-    share = whole[0] / (whole[0] + whole[1])
-    threshold = scaled.agg(F.percentile("strength", share, weight).alias("at")).first()["at"]
-    return Model(weights, float(threshold))
+    return Model(weights, threshold(docs, labels, label, weights))
 
 
 def rank(docs: DataFrame, model: Model) -> DataFrame:
@@ -140,10 +157,8 @@ def rank(docs: DataFrame, model: Model) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([features(raw) for raw in raw_texts(batch.column("text"))]).reshape(-1, N_FEATURES)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(model.score(found @ model.weights))], names=["doc_id", "score"]
-        )
+        found = model.score(strengths(batch.column("text"), model.weights))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     scored = map_batches(rows, score, f"doc_id {kind}, score double")
     return scored.select(
