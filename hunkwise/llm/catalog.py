@@ -52,7 +52,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents"))
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.FAR_TEMPLATES, licenses.NEAR_NOTICES)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
