@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hunkwise.llm import (
     bpe,
     decontaminate,
+    jaccard_join,
     licenses,
     line_dedup,
     quality_ranking,
@@ -76,11 +77,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels"))).drop("text")
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.cluster(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_ranking, op2_decontamination, op3_simhash, op4_url_filter, op5_bpe,
         op6_licenses, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_quality_rules,
+        op12_jaccard_join,
     )
 }
-ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op12_jaccard_join": jaccard_join.ORACLE,
+}
