@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hunkwise.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     jaccard_join,
     licenses,
     line_dedup,
@@ -81,16 +82,21 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_ranking, op2_decontamination, op3_simhash, op4_url_filter, op5_bpe,
         op6_licenses, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_quality_rules,
-        op12_jaccard_join,
+        op12_jaccard_join, op13_hard_negatives,
     )
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op12_jaccard_join": jaccard_join.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

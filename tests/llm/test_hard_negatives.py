@@ -1,0 +1,106 @@
+import math
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from hunkwise.llm import hard_negatives as hn
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, key string, score double, rank int"
+NAMES = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def frame(spark, rows):
+    """Embeddings with columns whose names the operator uses itself."""
+    return spark.createDataFrame([(*r, "k", 0.5, 1) for r in rows], SCHEMA).repartition(3)
+
+
+def plain(rows):
+    taken = {}
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        floats = [float(np.float32(x)) for x in v]
+        taken[i, (label + 1) % 10 if i % 7 == 0 else label, tuple(math.floor(256 * x) for x in floats)] = True
+    out = []
+    for a in taken:
+        if a[0] % 100:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(a[2], o[2])), o[0], o[1]) for o in taken if o != a)
+        for minus, positive, _ in [s for s in scored if s[2] == a[1]][:5]:
+            band = [s for s in scored if s[2] != a[1] and -30 * minus <= -100 * s[0] <= -90 * minus][:10]
+            out += [(a[0], positive, rank, s[1], -minus, -s[0]) for rank, s in enumerate(band, 1)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted(tuple(r[c] for c in NAMES) for r in df.collect())
+
+
+def made(seed, n, width=12):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        size = r.choice([0.1, 1.0, 3.0])
+        v = [r.gauss(0.3, 1) * size for _ in range(width)]
+        rows.append((i, v, r.randrange(10) if r.random() < 0.7 else 1))
+    common = [0.5] * width
+    rows += [(n + i, common, i % 3) for i in range(60)]  # one very common vector: ties
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [2048, 16])
+def test_equals_all_pairs(spark, monkeypatch, bucket):
+    monkeypatch.setattr(hn, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(hn, "GROUP_BUCKETS", 3)
+    monkeypatch.setattr(hn, "BLOCK_ROWS", 2)
+    rows = made(bucket, 420)
+    assert found(hn.mine(frame(spark, rows))) == plain(rows)
+
+
+def test_awkward_rows(spark):
+    rows = made(5, 230, width=4)
+    rows += [
+        (None, [1.0] * 4, 1), (1000, None, 1), (1100, [1.0, None, 1.0, 1.0], 1), (1200, [float("nan")] * 4, 1), (1300, [math.inf] * 4, 2),
+        (1400, [1.0] * 4, None), (1500, [], 3), (1501, [], 4), (1600, [0.0] * 4, 5), (1700, [-0.001, 0.3], 1), (1800, [2.0] * 6, 1),
+        (200, [9.0] * 4, 1), (200, [7.0, 1.0, 1.0, 1.0], 1), (-100, [1.0, 2.0, 3.0, 4.0], 2), (1900, [-3.0] * 4, 2),
+    ]
+    rows += rows[:5] + rows[100:103]
+    assert found(hn.mine(frame(spark, rows))) == plain(rows)
+
+
+def test_large_components_are_scored_in_whole_numbers(spark):
+    rows = [(i, [200_000.0 + i, 1.5, -i * 0.25], i % 2) for i in range(0, 120)] + [(300, [1e30, 1.0, 1.0], 0)]
+    assert found(hn.mine(frame(spark, rows))) == plain(rows[:-1])
+
+
+def test_empty_table(spark):
+    df = hn.mine(frame(spark, made(1, 3)).filter("vec_id < 0"))
+    assert df.columns == list(NAMES) and df.collect() == []
+
+
+def test_ranges_hold_every_row_that_reaches_the_cosine():
+    r = np.random.default_rng(3)
+    matrix = r.integers(-200, 200, (500, 8))
+    length, shares = hn._shares(matrix)
+    order = np.argsort(shares, axis=0, kind="stable")
+    bucket = hn.Bucket(float(length.max()), *(np.arange(500),) * 3, matrix, np.take_along_axis(shares, order, axis=0).T, order.T.astype(np.int16))
+    pruned = 0
+    for _ in range(50):
+        q = r.integers(-200, 200, 8)
+        (size,), (share,) = hn._shares(q[None, :])
+        focus = [(int(c), float(share[c])) for c in np.argsort(-np.abs(share))[: hn.FOCUS]]
+        for cosine in (0.2, 0.6, 0.9):
+            rows = bucket.candidates(focus, cosine)
+            assert set(np.flatnonzero(matrix @ q >= cosine * size * length)) <= set(rows.tolist())
+            pruned += 500 - len(rows)
+    assert pruned > 0
+
+
+def test_sql_states_the_same():
+    rows = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in made(8, 420)] + [(1000, None, 1), (1100, [math.nan] * 12, 2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    assert sorted(con.execute(hn.ORACLE).fetchall()) == plain(rows)
