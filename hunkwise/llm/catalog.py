@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hunkwise.llm import (
     bpe,
+    conversations,
     decontaminate,
     hard_negatives,
     jaccard_join,
@@ -78,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels"))).drop("text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(read(spark, sf_dir, "conversations"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(read(spark, sf_dir, "documents"))
 
@@ -91,7 +96,7 @@ QUERIES = {
     for f in (
         op1_quality_ranking, op2_decontamination, op3_simhash, op4_url_filter, op5_bpe,
         op6_licenses, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_quality_rules,
-        op12_jaccard_join, op13_hard_negatives,
+        op11_conversation_repair, op12_jaccard_join, op13_hard_negatives,
     )
 }
 ORACLES = {
