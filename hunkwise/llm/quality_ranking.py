@@ -110,15 +110,19 @@ def threshold(docs: DataFrame, labels: DataFrame, label: str, weights: np.ndarra
     """Quantile, at the share of label 0, of the strengths of all documents that may be learnt from.
 
     The value of the 1-based rank ``floor(share (n - 1)) + 1``, or its mean with the
-    next one by the rest of the product. Strengths are counted by value and found
-    through bins, so no task holds them all.
+    next one by the rest of the product. Strengths are taken where the texts are read,
+    so the join with the labels moves two numbers a row and no text. They are counted
+    by value and found through bins, so no task holds them all; equal ones are one value,
+    and a document at the threshold scores 1/2.
     """
-    rows = docs.select("doc_id", "text").join(learnable(labels, label), "doc_id").select("label", "text")
+    rows = docs.filter(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(strengths(batch.column("text"), weights))], names=["label", "strength"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(strengths(batch.column("text"), weights))], names=["doc_id", "strength"])
 
-    measured = materialize(map_batches(rows, measure, "label int, strength double"), "ranking-strengths")
+    strong = map_batches(rows, measure, f"doc_id {kind}, strength double")
+    measured = materialize(strong.join(learnable(labels, label), "doc_id").select("label", "strength"), "ranking-strengths")
     sizes = {r["label"]: r["rows"] for r in measured.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).collect()}
     total = sizes[0] + sizes[1]
     # share (total - 1), in whole numbers and a rest.
@@ -135,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     from. Without both classes all scores are 1/2.
     """
     sample = materialize(learn_sample(labels, label, LEARN_ROWS, salt=1), "ranking-sample")
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text")
+    # Twice LEARN_ROWS ids at most: small at every size.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     rows = materialize(_with_features(chosen, "doc_id", "label"), "ranking-features")
     sizes = {r["label"]: r["rows"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).collect()}
     if len(sizes) < 2:
