@@ -8,6 +8,11 @@ text falls into segments, runs of strings with one anchor. Anchors that occur on
 in the corpus are dropped. The segments of an anchor meet in one place: equal ones
 are settled at once, the different ones are joined, their suffixes are sorted in two
 stages, and adjacent common prefixes show the strings that repeat.
+
+Texts and segments travel compressed. A text that repeats itself at short distance, a
+run of one byte for instance, has one segment with one anchor at many places: the
+strings of a long one are told apart where it is cut, and one span covers all but the
+first of each.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from hunkwise.llm.common import K1, K2, KEYS, keyed, materialize, raw_texts
@@ -28,6 +34,8 @@ _GRAMS = SPAN - GRAM + 1
 HOT_TEXTS = 2_000
 # Text per Arrow batch and per array, and segments' bytes per suffix array.
 _BATCH_BYTES, _ARRAY_BYTES, _SORT_BYTES = 16 << 20, 512 << 10, 4 << 20
+# Longer texts fall into windows; segments of more strings with an anchor at several places are cut like hot ones.
+_WINDOW_BYTES, _LONG_STRINGS = 4 << 20, 4_096
 # Buckets per shuffle partition.
 _SPREAD = 4
 
@@ -88,7 +96,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     induced = induced[np.argsort(data[induced], kind="stable")]
     edges = np.searchsorted(data[induced], np.arange(257))
     direct_edges = np.searchsorted(first_bytes, np.arange(257))
-    run = ahead - np.arange(n)
+    run = np.minimum(ahead - np.arange(n), SPAN)  # from SPAN on the order does not matter
     for c in np.unique(data).tolist():
         bucket = induced[edges[c] : edges[c + 1]]
         # Shorter runs of the byte come first; each level follows from the one before.
@@ -96,7 +104,8 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         by_length = np.argsort(lengths, kind="stable")
         bucket, lengths = bucket[by_length], lengths[by_length]
         for part in np.split(bucket, np.flatnonzero(np.diff(lengths)) + 1) if len(bucket) else ():
-            part = part[np.argsort(rank[part + 1], kind="stable")]
+            if run[part[0]] < SPAN:
+                part = part[np.argsort(rank[part + 1], kind="stable")]
             out[at : at + len(part)] = part
             rank[part] = np.arange(at, at + len(part))
             at += len(part)
@@ -145,12 +154,22 @@ def _first_minima(h: np.ndarray) -> np.ndarray:
     return place
 
 
+_NO_SEGMENTS = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, bool))
+
+
 def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first string, number of strings, anchor hash) of all segments, in order."""
+    """(text number, first string, number of strings, anchor hash, anchor at several places) of all segments, in order."""
     parts: list[tuple[np.ndarray, ...]] = []
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     at = 0
     while at < len(texts):
+        if sizes[at] > _WINDOW_BYTES:
+            for begin in range(0, int(sizes[at]) - SPAN + 1, _WINDOW_BYTES):
+                piece = texts[at][begin : begin + _WINDOW_BYTES + SPAN - 1]
+                number, first, *rest = _segments_of([piece], 0, 1, np.array([len(piece)], np.int64))
+                parts.append((number + at, first + begin, *rest))
+            at += 1
+            continue
         upto, size = at + 1, sizes[at]
         while upto < len(texts) and size + sizes[upto] <= _ARRAY_BYTES:
             size += sizes[upto]
@@ -159,7 +178,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             parts.append(_segments_of(texts, at, upto, sizes))
         at = upto
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return _NO_SEGMENTS
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -171,17 +190,23 @@ def _segments_of(texts, at, upto, sizes):
     owner = np.repeat(np.arange(upto - at), sizes[at:upto])[: len(anchor)]
     start = np.flatnonzero(np.arange(len(anchor)) + SPAN <= ends[owner])
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor[start]) != 0) | (np.diff(owner[start]) != 0)]))
+        return _NO_SEGMENTS
+    moved = np.concatenate([[True], (np.diff(anchor[start]) != 0) | (np.diff(owner[start]) != 0)])
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(h[anchor[start]]) != 0) | (np.diff(owner[start]) != 0)]))
     number = owner[start[first]]
     counts = np.diff(np.append(first, len(start)))
-    return number + at, start[first] - (ends - sizes[at:upto])[number], counts, h[anchor[start[first]]]
+    several = np.add.reduceat(moved.astype(np.int64), first) > 1
+    return number + at, start[first] - (ends - sizes[at:upto])[number], counts, h[anchor[start[first]]], several
 
 
 def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``_BATCH_BYTES`` of text, one row at least."""
     for batch in batches:
-        sizes = np.array([len(x) for x in raw_texts(batch.column("text"))], np.int64)
+        squeezed = "squeezed" in batch.schema.names
+        sizes = np.array(
+            [zstandard.frame_content_size(x) if x else 0 for x in batch.column("squeezed").to_pylist()]
+            if squeezed else [len(x) for x in raw_texts(batch.column("text"))], np.int64,
+        )
         at = 0
         while at < batch.num_rows:
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _BATCH_BYTES, side="right")))
@@ -189,6 +214,26 @@ def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw) if raw else b""
+
+
+def _unsqueeze(packed: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, squeezed) of (key, doc_id, text): the compressed text, empty for NULL."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_bytes(batches):
+            packed = pa.array([_squeeze(raw) for raw in raw_texts(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEYS, "doc_id")), packed], names=[*KEYS, "doc_id", "squeezed"])
+
+    return rows.select(*KEYS, "doc_id", "text").mapInArrow(pack, f"{K1} bigint, {K2} bigint, doc_id {kind}, squeezed binary")
+
+
 def _split(bucket: np.ndarray):
     """(bucket, rows) for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
@@ -200,7 +245,9 @@ def _split(bucket: np.ndarray):
 
 
 def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
-    """(key 1, anchor) of the texts with an anchor that occurs again, in them or elsewhere.
+    """(key 1, anchor, long) of the texts with an anchor that occurs again, in them or elsewhere.
+
+    ``long`` marks anchors of a long segment that repeats itself.
 
     Anchors that repeat inside a batch are known as such there: their owners are
     dealt out evenly, and one entry without an owner stands for them all. So a
@@ -209,14 +256,16 @@ def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_bytes(batches):
-            number, _, _, h = segments(raw_texts(batch.column("text")))
+            number, _, count, h, several = segments(raw_texts(batch.column("text")))
+            long = several & (count > _LONG_STRINGS)
             key = batch.column(K1).to_numpy(zero_copy_only=False)[number] if len(number) else np.zeros(0, np.int64)
             order = np.argsort(h, kind="stable")
-            h, key, number = h[order], key[order], number[order]
+            h, key, number, several, long = h[order], key[order], number[order], several[order], long[order]
             new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
-            repeated = np.bincount(group)[group] > 1 if len(h) else new
-            kind = np.where(repeated, 1, 0).astype(np.uint8)  # 1: known to repeat, goes anywhere
+            repeated = np.bincount(group, weights=1 + several)[group] > 1 if len(h) else new
+            long = np.bincount(group, weights=long)[group] > 0 if len(h) else new
+            kind = np.where(long, 3, np.where(repeated, 1, 0)).astype(np.uint8)  # 1: known to repeat, goes anywhere; 3: long, too
             stands = np.flatnonzero(repeated & new)
             spread = (h + key.view(np.uint64)) % np.uint64(buckets)
             bucket = np.where(repeated, spread, h % np.uint64(buckets)).astype(np.int64)
@@ -239,17 +288,17 @@ def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
             np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
             for c, t in (("h", np.uint64), ("key", np.int64), ("kind", np.uint8))
         )
-        known = kind == 1
+        known = kind % 2 == 1
         rest = np.flatnonzero(~known)
         order = rest[np.argsort(h[rest], kind="stable")]
         new = np.concatenate([[True], np.diff(h[order]) != 0]) if len(order) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         often = np.bincount(group)[group] > 1 if len(order) else new
         found = np.concatenate([np.flatnonzero(known), order[often & (kind[order] == 0)]])
-        return pa.table({"key": pa.array(key[found]), "anchor": pa.array(h[found].view(np.int64))})
+        return pa.table({"key": pa.array(key[found]), "anchor": pa.array(h[found].view(np.int64)), "long": pa.array(kind[found] == 3)})
 
     dealt = rows.select(K1, "text").mapInArrow(deal, "bucket int, h binary, key binary, kind binary")
-    return dealt.groupBy("bucket").applyInArrow(settle, "key bigint, anchor bigint")
+    return dealt.groupBy("bucket").applyInArrow(settle, "key bigint, anchor bigint, long boolean")
 
 
 # --- settling the segments --------------------------------------------------------
@@ -292,22 +341,23 @@ def _merge(keys: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> pa.Tab
     return pa.table({K1: k1[at], K2: k2[at], "start": start[at], "end": (reach - lift)[last]})
 
 
-_BLOB = ("h", "k1", "k2", "place", "first", "count", "known")
+_BLOB = ("h", "k1", "k2", "place", "first", "count", "known", "several")
 
 
 def _cut_out(rows: DataFrame, buckets: int) -> DataFrame:
     """Segments with the wanted anchors, packed per batch and bucket.
 
-    Of equal segments in a batch the first goes on; the others are known to repeat.
+    Of equal segments in a batch the first goes on; the others are known to repeat, and
+    those that follow each other are one span.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_bytes(batches):
-            texts = raw_texts(batch.column("text"))
+            texts = [_unsqueeze(x) for x in batch.column("squeezed").to_pylist()]
             k1, k2, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in (K1, K2, "place"))
             wanted = [np.array(x, np.int64).view(np.uint64) for x in batch.column("anchors").to_pylist()]
             hot = [np.array(x, bool) for x in batch.column("hot").to_pylist()]
-            number, first, count, h = segments(texts)
+            number, first, count, h, several = segments(texts)
             edges = np.searchsorted(number, np.arange(len(texts) + 1))
             seen: dict[bytes, tuple] = {}
             out: list[tuple] = []
@@ -319,24 +369,29 @@ def _cut_out(rows: DataFrame, buckets: int) -> DataFrame:
                 in_hot = np.isin(h[own], wanted[d][hot[d]])
                 for k in np.flatnonzero(in_wanted):
                     at, n = int(first[own][k]), int(count[own][k])
-                    pieces = [(at + i, 1) for i in range(n)] if in_hot[k] else [(at, n)]
+                    pieces = ((at + i, 1) for i in range(n)) if in_hot[k] else ((at, n),)
                     for a, m in pieces:
                         content = texts[d][a : a + m + SPAN - 1]
                         anchor = (_digest(content) if in_hot[k] else int(h[own][k]))
                         mine = (int(place[d]), int(k1[d]), int(k2[d]), a)
                         if (other := seen.setdefault(content, mine)) == mine:
-                            out.append((anchor, mine[1], mine[2], mine[0], a, m, 0))
+                            out.append((anchor, mine[1], mine[2], mine[0], a, m, 0, int(several[own][k] and not in_hot[k])))
                             blobs.append(content)
                         elif other[:3] != mine[:3] or other[3] != a:
-                            out.append((mine[1] & 0x7FFFFFFFFFFFFFFF, mine[1], mine[2], mine[0], a, m, 1))
-                            blobs.append(b"")
+                            again = (mine[1] & 0x7FFFFFFFFFFFFFFF, mine[1], mine[2], mine[0], a, m, 1, 0)
+                            before = out[-1] if out else again
+                            if before[6] and before[1:4] == again[1:4] and before[4] + before[5] == a:
+                                out[-1] = (*before[:5], before[5] + m, 1, 0)
+                            else:
+                                out.append(again)
+                                blobs.append(b"")
             table = np.array([(x[0] - (1 << 64) if x[0] >= 1 << 63 else x[0], *x[1:]) for x in out], np.int64).reshape(-1, len(_BLOB))
             cuts = list(_split((table[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([b for b, _ in cuts], pa.int32()),
                     pa.array([table[i].tobytes() for _, i in cuts], pa.binary()),
-                    pa.array([b"".join(blobs[j] for j in i) for _, i in cuts], pa.binary()),
+                    pa.array([_squeeze(b"".join(blobs[j] for j in i)) for _, i in cuts], pa.binary()),
                 ],
                 names=["bucket", "rows", "content"],
             )
@@ -351,7 +406,7 @@ def _digest(content: bytes) -> int:
 def _settle_segments(table: pa.Table) -> pa.Table:
     """Repeated spans of the segments of one bucket."""
     facts = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, len(_BLOB)) for x in table.column("rows").to_pylist()])
-    content = b"".join(table.column("content").to_pylist())
+    content = b"".join(map(_unsqueeze, table.column("content").to_pylist()))
     sizes = np.where(facts[:, 6] == 1, 0, facts[:, 5] + SPAN - 1)
     ends = np.cumsum(sizes)
     spans: list[tuple[np.ndarray, ...]] = []
@@ -379,7 +434,7 @@ def _settle_segments(table: pa.Table) -> pa.Table:
     groups = np.split(left, np.flatnonzero(np.diff(facts[left, 0])) + 1) if len(left) else []
     waiting: list[np.ndarray] = []
     size = 0
-    for group in [g for g in groups if len(g) > 1] + [None]:
+    for group in [g for g in groups if len(g) > 1 or facts[g[0], 7]] + [None]:
         if waiting and (group is None or size + sizes[group].sum() > _SORT_BYTES):
             rows = np.concatenate(waiting)
             data = np.frombuffer(b"".join(content[ends[i] - sizes[i] : ends[i]] for i in rows.tolist()), np.uint8)
@@ -393,15 +448,17 @@ def _settle_segments(table: pa.Table) -> pa.Table:
     return _merge([k1, k2], start, end)
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(key, start, end) of byte spans that repeat; spans of one document may overlap."""
+def repeated_spans(rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """(key, start, end) of byte spans that repeat, from the texts and the ``squeezed`` ones; spans of one document may overlap."""
     buckets = _SPREAD * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = materialize(repeated_anchors(rows, buckets).distinct(), "repeated-anchors")
-    hot = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_TEXTS).select("anchor", F.lit(True).alias("hot"))
-    flagged = wanted.join(hot, "anchor", "left").select(F.col("key").alias(K1), "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
+    often = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
+    hot = often.filter((F.col("n") > HOT_TEXTS) | F.col("long")).select("anchor", F.lit(True).alias("hot"))
+    listed = wanted.select("key", "anchor").distinct()
+    flagged = listed.join(hot, "anchor", "left").select(F.col("key").alias(K1), "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     by_text = flagged.groupBy(K1).agg(F.collect_list(F.struct("anchor", "hot")).alias("wanted"))
-    texts = rows.join(by_text, K1).select(
-        *KEYS, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("place"), "text",
+    texts = packed.join(by_text, K1).select(
+        *KEYS, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("place"), "squeezed",
         F.col("wanted.anchor").alias("anchors"), F.col("wanted.hot").alias("hot"),
     )
     schema = f"{K1} bigint, {K2} bigint, start bigint, end bigint"
@@ -417,9 +474,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are not looked at.
     """
     rows = keyed(docs)
-    spans = repeated_spans(rows).groupBy(K1).agg(F.collect_list(F.struct(K2, "start", "end")).alias("spans"))
-    marked = rows.join(spans, K1, "left").select(
-        "doc_id", K2, "text", *(F.col(f"spans.{c}").alias(n) for c, n in ((K2, "owners"), ("start", "starts"), ("end", "ends")))
+    packed = squeezed(rows)
+    spans = repeated_spans(rows, packed).groupBy(K1).agg(F.collect_list(F.struct(K2, "start", "end")).alias("spans"))
+    marked = packed.join(spans, K1, "left").select(
+        "doc_id", K2, "squeezed", *(F.col(f"spans.{c}").alias(n) for c, n in ((K2, "owners"), ("start", "starts"), ("end", "ends")))
     )
     kind = marked.schema["doc_id"].dataType.simpleString()
 
@@ -428,7 +486,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             kept: list[bytes] = []
             counts: list[tuple[int, int, int]] = []
             columns = (batch.column(c).to_pylist() for c in (K2, "owners", "starts", "ends"))
-            for raw, key, owners, starts, ends in zip(raw_texts(batch.column("text")), *columns, strict=True):
+            for raw, key, owners, starts, ends in zip(map(_unsqueeze, batch.column("squeezed").to_pylist()), *columns, strict=True):
                 own = sorted((s, e) for o, s, e in zip(owners or (), starts or (), ends or ()) if o == key)
                 parts, upto, n_spans = [], 0, 0
                 reach = -1

@@ -96,3 +96,23 @@ def test_sf(spark, sf_dir):
 
 def test_empty(spark):
     assert s.dedup(frame(spark, [(1, "x")]).limit(0)).collect() == []
+
+
+def test_texts_that_repeat_themselves(spark, monkeypatch):
+    r = random.Random(4)
+    text = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    runs = [(1, "=" * 6000), (2, text(300) + "=" * 5000 + text(200)), (3, "=" * 99 + "x" + "=" * 150), (4, "abc" * 2500), (5, text(50) + "abc" * 60 + text(90))]
+    line = text(37) + "\n"
+    runs += [(6, line * 150), (7, text(100) + line * 5 + text(100)), (8, "-" * 130 + text(200)), (9, "-" * 130 + text(90)), (10, text(140) * 3), (11, " " * 400)]
+    check(spark, runs)
+    monkeypatch.setattr(s, "_LONG_STRINGS", 100)
+    monkeypatch.setattr(s, "_WINDOW_BYTES", 1500)
+    check(spark, runs)
+
+
+def test_megabytes_of_one_byte(spark):
+    rows = s.dedup(frame(spark, [(1, "=" * (8 << 20)), (2, "=" * 500 + "end")])).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == {
+        # All but the first string start later; the first one's bytes are covered by the next ones from 1 on.
+        1: (8 << 20, (8 << 20) - 1, 1, b"="), 2: (503, 500, 1, b"end"),
+    }
