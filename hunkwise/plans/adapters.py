@@ -161,6 +161,21 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("delivery_id", "event_type", signature.alias("signature"), "body", "received_at")
 
 
+def redelivered(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
+    """Deliveries in two waves by time, the second with repeats of the first, and more repeats of both."""
+    rows = deliveries(spark, sf_dir)
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    number = F.substring("delivery_id", 5, 20).cast("bigint")
+    late = F.lit(FIRST_DELIVERY_MS + 1000 * last)
+
+    def repeats(n: int, wave: int) -> DataFrame:
+        return rows.filter(number % n == 0).withColumn("received_at", late + wave)
+
+    early = number <= last // 2
+    second = rows.filter(~early).unionByName(repeats(3, 1).filter(early)).unionByName(repeats(5, 2))
+    return [rows.filter(early), second], repeats(2, 3).unionByName(repeats(6, 4))
+
+
 def _break_body(body: Column) -> Column:
     """Every 53rd body loses its first character."""
     return F.when(F.col("o_orderkey") % 53 == 0, F.substring(body, 2, 1 << 30)).otherwise(body)

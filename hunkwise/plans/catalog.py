@@ -19,10 +19,10 @@ from hunkwise.operators import (
     training,
 )
 from hunkwise.plans import adapters as a, flows
-from hunkwise.schemas import RESULT
+from hunkwise.schemas import RESULT, SNIPPET, SNIPPET_COLUMNS
 from hunkwise.session import run_dir
 from hunkwise.sources import bus, tables
-from hunkwise.streaming import feed, live
+from hunkwise.streaming import feed, intake, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -946,3 +946,48 @@ def stream_running_stats(spark, sf_dir):
     out, checkpoint = run_dir(spark, "stats"), run_dir(spark, "checkpoint")
     live.running_stats(a.stream_results(spark, sf_dir), out, checkpoint, available_now=True).awaitTermination()
     return _rounded(live.read_running_stats(spark, out), 6, "anomaly_rate", "avg_latency_ms")
+
+
+@query("stream_redeliveries", ORACLES["delivery_status"])
+def stream_redeliveries(spark, sf_dir):
+    """Later deliveries with repeats of earlier ones, over three runs of one checkpoint."""
+    landed, out, checkpoint = (run_dir(spark, name) for name in ("landed", "once", "checkpoint"))
+    first, again = a.redelivered(spark, sf_dir)
+    for wave in (*first, again):
+        tables.write_deliveries(wave, landed)
+        stream = tables.stream_deliveries(spark, landed)
+        intake.write_once(stream, out, checkpoint, "3650 days", available_now=True).awaitTermination()
+    return ingest.delivery_status(intake.read_once(spark, out), a.SECRET, _SMALL_BODY)
+
+
+_ENRICHED_SQL = "SELECT s.code, s.repo, s.commit_sha, s.file_path, s.start_line, s.end_line, "
+_BARE_SQL = "SELECT '' AS code, repo, commit_sha, file_path, 0 AS start_line, 0 AS end_line, "
+_ANNOUNCED_SQL = f"p.o_orderkey * 1000 + {a.FIRST_DELIVERY_MS} AS timestamp, "
+_SAME_COMMIT = "s.repo = p.repo AND s.commit_sha = p.commit_sha"
+
+
+@query(
+    "stream_enriched",
+    f"{_ENRICHED_SQL}{_ANNOUNCED_SQL}true AS matched FROM a_snippets s JOIN a_push_files p ON {_SAME_COMMIT} AND s.file_path = p.file_path "
+    f"UNION ALL {_ENRICHED_SQL}{_ANNOUNCED_SQL}true FROM a_snippets s JOIN a_pr_markers p ON {_SAME_COMMIT} "
+    f"UNION ALL {_BARE_SQL}{_ANNOUNCED_SQL}false FROM a_push_files p "
+    f"WHERE NOT EXISTS (SELECT 1 FROM a_snippets s WHERE {_SAME_COMMIT} AND s.file_path = p.file_path) "
+    f"UNION ALL {_BARE_SQL}{_ANNOUNCED_SQL}false FROM a_pr_markers p WHERE NOT EXISTS (SELECT 1 FROM a_snippets s WHERE {_SAME_COMMIT})",
+    "a_snippets",
+    "a_push_files",
+    "a_pr_markers",
+)
+def stream_enriched(spark, sf_dir):
+    """Announcements first, then the code, then a sign of life from both sides that ends the wait."""
+    topics = {"announced": placeholders_all(spark, sf_dir), "offered": _snippets(spark, sf_dir)}
+    paths = {name: run_dir(spark, name) for name in topics}
+    out, checkpoint = run_dir(spark, "enriched"), run_dir(spark, "checkpoint")
+    alive = spark.createDataFrame([("", "", "", "", 0, 0, a.FIRST_DELIVERY_MS + 10_000 * 86_400_000)], SNIPPET)
+    for waves in ({"announced": topics["announced"]}, {"offered": topics["offered"]}, dict.fromkeys(topics, alive)):
+        for name, rows in waves.items():
+            rows.select(SNIPPET_COLUMNS).write.mode("append").parquet(paths[name])
+        for path in paths.values():
+            spark.createDataFrame([], SNIPPET).write.mode("append").parquet(path)
+        streams = [spark.readStream.schema(SNIPPET).parquet(path) for path in paths.values()]
+        intake.write_enriched(*streams, out, checkpoint, "3650 days", available_now=True).awaitTermination()
+    return intake.read_enriched(spark, out).filter("repo <> ''")
