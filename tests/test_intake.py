@@ -6,23 +6,26 @@ from hunkwise.session import run_dir
 from hunkwise.streaming import intake
 
 MINUTE = 60_000
+# A stream starts with a watermark of 1970, so times lie well behind that.
+START = 1_700_000_000_000
 
 
 def send(spark, path, *rows):
     """(delivery id, body, received at) of one wave."""
-    full = [(i, "push", None, bytearray(body.encode()), at) for i, body, at in rows]
+    full = [(i, "push", None, bytearray(body.encode()), START + at) for i, body, at in rows]
     spark.createDataFrame(full, DELIVERY).coalesce(1).write.mode("append").parquet(path)
 
 
 def received(spark, path, out, checkpoint, **kind):
     stream = spark.readStream.schema(DELIVERY).option("maxFilesPerTrigger", 1).parquet(path)
     intake.write_once(stream, out, checkpoint, available_now=True, **kind).awaitTermination()
-    return sorted((r.delivery_id, bytes(r.body).decode(), r.received_at) for r in intake.read_once(spark, out).collect())
+    return sorted(((r.delivery_id, bytes(r.body).decode(), r.received_at - START) for r in intake.read_once(spark, out).collect()), key=str)
 
 
 def test_each_delivery_once_over_batches_and_restarts(spark):
     path, out, checkpoint = (run_dir(spark, n) for n in ("in", "out", "checkpoint"))
     send(spark, path, ("a", "1", 0), ("a", "1", 0), ("b", "2", 5))
+    received(spark, path, out, checkpoint)
     send(spark, path, ("a", "1", MINUTE), ("c", "3", MINUTE))
     assert received(spark, path, out, checkpoint) == [("a", "1", 0), ("b", "2", 5), ("c", "3", MINUTE)]
     send(spark, path, ("b", "2", 2 * MINUTE), ("c", "3", 2 * MINUTE), ("d", "4", 2 * MINUTE))
@@ -38,16 +41,16 @@ def test_deliveries_without_an_id_are_told_apart_by_what_was_sent(spark):
 
 def test_ids_are_forgotten_after_their_time(spark):
     path, out, checkpoint = (run_dir(spark, n) for n in ("in", "out", "checkpoint"))
-    send(spark, path, ("a", "1", 0))
-    send(spark, path, ("b", "2", 30 * MINUTE))
-    send(spark, path, ("a", "1", 31 * MINUTE))
-    assert received(spark, path, out, checkpoint, remembered="10 minutes") == [
+    for row in (("a", "1", 0), ("b", "2", 30 * MINUTE), ("a", "1", 31 * MINUTE)):
+        send(spark, path, row)
+        found = received(spark, path, out, checkpoint, remembered="10 minutes")
+    assert found == [
         ("a", "1", 0), ("a", "1", 31 * MINUTE), ("b", "2", 30 * MINUTE),
     ]
 
 
 def snippet(path, at, code="", commit="c1", line=0):
-    return (code, "r", commit, path, line, line, at)
+    return (code, "r", commit, path, line, line, START + at)
 
 
 class Pair:
@@ -66,7 +69,7 @@ class Pair:
         streams = [self.spark.readStream.schema(SNIPPET).parquet(p) for p in (self.announced, self.offered)]
         intake.write_enriched(*streams, self.out, self.checkpoint, wait="60 minutes", lateness="5 minutes", available_now=True).awaitTermination()
         found = intake.read_enriched(self.spark, self.out).filter("commit_sha <> 'alive'")
-        return sorted((r.file_path, r.code, r.timestamp, r.matched) for r in found.collect())
+        return sorted((r.file_path, r.code, r.timestamp - START, r.matched) for r in found.collect())
 
     def alive(self, at):
         self.send([snippet("x.c", at, commit="alive")], [snippet("y.c", at, "k", commit="alive")])
@@ -106,4 +109,4 @@ def test_the_same_as_in_batches(spark):
     placeholders, code = (spark.createDataFrame(rows, SNIPPET) for rows in (announced, offered))
     met = enrich.enrich(placeholders, code).withColumn("matched", F.lit(True))
     bare = enrich.unenriched(placeholders, code).withColumn("matched", F.lit(False))
-    assert found == sorted((r.file_path, r.code, r.timestamp, r.matched) for r in met.unionByName(bare).collect())
+    assert found == sorted((r.file_path, r.code, r.timestamp - START, r.matched) for r in met.unionByName(bare).collect())
