@@ -1,10 +1,11 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 Fingerprints are 64 bits; two of them link at ``RADIUS`` or fewer different bits.
-Every bit position gets a vector of RADIUS + 1 bits; the mask of table ``v`` has
-the positions whose vector is orthogonal to ``v``. The vectors of up to RADIUS
-differing positions never span the whole space, so some mask avoids them all:
-each linked pair agrees on the masked bits of at least one table.
+Every bit position gets a non-zero vector of RADIUS + 1 bits; the mask of table
+``v`` has the positions whose product with ``v`` is odd. The vectors of up to RADIUS
+differing positions never span the whole space, so some ``v`` is orthogonal to
+them all, and its mask has none of them: each linked pair agrees on the masked
+bits of at least one table. A mask keeps over half of the bits.
 """
 
 from __future__ import annotations
@@ -12,23 +13,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hunkwise.llm.common import K1, K2, KEYS, keyed, map_batches, materialize, raw_texts
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-_TABLES = range(1, 1 << (RADIUS + 1))
 
 
-def _masks() -> dict[int, int]:
+def masks(radius: int) -> dict[int, int]:
     """64-bit mask of each table, from vectors that take all non-zero values equally often."""
-    vectors = [1 + position % len(_TABLES) for position in range(64)]
-    return {v: sum(1 << p for p, x in enumerate(vectors) if not (x & v).bit_count() % 2) for v in _TABLES}
+    tables = range(1, 1 << (radius + 1))
+    vectors = [1 + position % len(tables) for position in range(64)]
+    return {v: sum(1 << p for p, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in tables}
 
 
-MASKS = _masks()
+MASKS = masks(RADIUS)
 
 
 def _signed(x: int) -> int:
@@ -77,7 +78,7 @@ def links(distinct: DataFrame) -> DataFrame:
     itself under every value that differs from it in at most one bit outside the
     mask; two members of a bucket within two bits of each other share such a
     value, and all who share one link to the smallest of them. That is at most
-    33 rows for a member, however large its bucket.
+    29 rows for a member and table, however large its bucket.
     """
     tables = F.explode(
         F.array(*(F.struct(F.lit(v).alias("table"), F.lit(_signed(mask)).alias("mask")) for v, mask in MASKS.items()))
@@ -89,7 +90,7 @@ def links(distinct: DataFrame) -> DataFrame:
     shared = filed.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("table", "bucket")
     members = filed.join(shared, ["table", "bucket"], "left_semi")
     outside = {v: [_signed(1 << p) for p in range(64) if not mask >> p & 1] for v, mask in MASKS.items()}
-    flips = F.element_at(F.array(*(F.array(F.lit(0), *map(F.lit, outside[v])).cast("array<bigint>") for v in _TABLES)), F.col("table"))
+    flips = F.element_at(F.array(*(F.array(F.lit(0), *map(F.lit, outside[v])).cast("array<bigint>") for v in MASKS)), F.col("table"))
     near = members.select("fp", "table", F.explode(flips).alias("flip")).select(
         "fp", "table", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")
     )
@@ -166,5 +167,4 @@ def survivors(docs: DataFrame) -> DataFrame:
     k1, k2 = (F.xxhash64(F.lit(seed), "doc_id", "text") for seed in (1, 2))
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), k1.alias(K1), k2.alias(K2))
     kept = marked.join(best, KEYS, "left_semi")
-    single = kept.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(K1))).filter("nth = 1")
-    return single.select("row.*")
+    return kept.dropDuplicates(KEYS).select("row.*")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import xxhash
@@ -46,6 +47,18 @@ def test_masks_cover_all_pairs_within_the_radius():
             assert any(not mask & (1 << a | 1 << b) for mask in simhash.MASKS.values())
 
 
+def test_masks_at_other_radii():
+    """Any set of up to ``radius`` positions is missed by some mask; sets of vectors stand for sets of positions."""
+    for radius in (1, 2, 3, 4):
+        masks = simhash.masks(radius)
+        vectors = range(min(64, len(masks)))  # positions repeat with the vectors
+        for n in range(1, radius + 1):
+            for chosen in itertools.combinations(vectors, n):
+                bits = sum(1 << p for p in chosen)
+                assert any(not mask & bits for mask in masks.values())
+    assert all(mask.bit_count() >= 36 for mask in simhash.MASKS.values())
+
+
 def test_links_connect_all_close_fingerprints(spark):
     r = random.Random(5)
     prints = [r.getrandbits(64) for _ in range(200)]
