@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from hunkwise.session import run_dir
 
@@ -78,7 +79,7 @@ def learn_sample(labels: DataFrame, label: str, per_class: int, salt: int) -> Da
 
 
 def map_batches(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 512
 ) -> DataFrame:
     """``function`` over Arrow batches of at most ``rows`` rows."""
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from hunkwise.llm.common import is_held_out, learn_sample, map_batches, materialize, raw_texts
 
@@ -188,7 +189,6 @@ def judge(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id", "text
     must differ from the new ones.
     """
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, "text"])))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,7 +207,8 @@ def judge(docs: DataFrame, model: Model, carry: Sequence[str] = ("doc_id", "text
             names=[*batch.schema.names, *counted, "probability"],
         )
 
-    scored = map_batches(rows, score, f"{kept}, {', '.join(c + ' bigint' for c in counted)}, probability double")
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in counted), StructField("probability", DoubleType())])
+    scored = map_batches(rows, score, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     judged = scored.withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP_PROBABILITY))
