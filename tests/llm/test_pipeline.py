@@ -1,0 +1,113 @@
+"""The whole pipeline against plain restatements of its stages, which share only the fitted model."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from hunkwise.llm import line_dedup, quality_rules
+
+from .cases import vocabulary
+from .test_quality import base
+from .test_simhash import plain_components, plain_print
+from .test_text_operators import WORD, encoding, lower
+
+SCHEMA = "doc_id bigint, n_words string, text string, kept int, source string, `n.lines` string, row array<int>, probability double, gone string, _key_1 string"
+WORDS = vocabulary(400, seed=9)
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Good rows have plain words, bad ones are shouted; among them copies, boilerplate, long passages and test items."""
+    r = random.Random(4)
+    items = [(i, prose(r, 25)) for i in range(6)]
+    passage = prose(r, 60)
+    texts = [(i, prose(r, 60) if i % 2 else prose(r, 60).upper() + " !!!") for i in range(600)]
+    texts += [(600 + i, f"Cookies on this site\n{prose(r, 50)}\n{passage if i % 3 else 'end'}") for i in range(60)]
+    twin = prose(r, 400)
+    texts += [(700 + i, twin) for i in range(30)] + [(740 + i, twin + f" last{i}") for i in range(10)]
+    texts += [(760 + i, f"{prose(r, 30)}\n{item}") for i, item in items] + [(770, None), (771, ""), (772, " \n "), (None, prose(r, 50)), (None, None)]
+    texts += [(773, prose(r, 3000)), (774, passage), (774, passage), (774, passage), (775, prose(r, 40)), (775, prose(r, 40))]
+    path = tmp_path_factory.mktemp("pipeline")
+    rows = [(i, "w", t, 1, f"s{n % 13}", "l", [n], 0.5, "g", "k") for n, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id bigint, quality int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").selectExpr("cast(item_id as string) item_id", "text").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def plain(docs, model, items):
+    """Digests, in any order, of the (doc_id, text, source) rows that the stages leave."""
+
+    def good(text):
+        _, hashes = quality_rules.number_words(raw := (text or "").encode())
+        ids, _ = quality_rules.number_words(raw)
+        return not base(text)[-1] and model.probability(model.margin(raw, hashes[ids])) >= 0.5
+
+    docs = [d for d in docs if good(d[1])]
+    order = lambda i: (i is not None, i or 0)
+    sites, first = {}, {}
+    for i, text, site in docs:
+        for pos, line in enumerate(text.split("\n")):
+            if line.strip(" "):
+                sites.setdefault(line, set()).add(site)
+                first[line] = min(first.get(line, (order(i), pos)), (order(i), pos))
+    bad = {x for x, s in sites.items() if len(s) >= (line_dedup.LONG_MIN_SITES if len(x.split()) >= line_dedup.LONG_WORDS else line_dedup.MIN_SITES)}
+    docs = [
+        (i, "\n".join(x for pos, x in enumerate(text.split("\n")) if x not in bad or first[x] == (order(i), pos)))
+        for i, text, _ in docs
+    ]
+    roots, left = plain_components([plain_print(t) for _, t in docs]), {}
+    for i, t in docs:
+        key = (i is None, i or 0)
+        left[roots[plain_print(t)]] = min(left.get(roots[plain_print(t)], (key, t)), (key, t))
+    windows = set()
+    for _, text in items:
+        w = WORD.findall(lower(text))
+        windows |= {tuple(w[k : k + 13]) for k in range(len(w) - 12)}
+    out, tokens = [], encoding()
+    for (no_id, i), t in left.values():
+        w = WORD.findall(lower(t))
+        hit = {k + j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for j in range(13)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            ids = np.array(tokens.encode_ordinary(t), "<u4")
+            out.append((None if no_id else i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_whole_run(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality_rules.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    given = [(x.doc_id, x.text, x.source) for x in docs.collect()]
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    want = plain(given, model, items)
+    found = corpus_pipeline.run(spark, folder)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, found.collect()), key=repr) == want
+    ids = {w[0] for w in want}
+    assert len(want) > 250 and not ids & {*range(760, 766), 770, 771, 772}
+    assert sum(i is not None and 700 <= i < 760 for i in ids) < 5
+
+
+def test_extra_columns_pass_through(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    given = {(x.doc_id, x.row[0]): x for x in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.schema == docs.schema
+        for x in after.collect():
+            before = given[x.doc_id, x.row[0]].asDict()
+            assert {**x.asDict(), "text": ""} == {**before, "text": ""}
+
+
+def test_empty(spark, folder, tmp_path):
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{table}.parquet").filter(F.lit(False)).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
