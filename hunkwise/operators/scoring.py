@@ -90,27 +90,29 @@ def linear_logits(
     """Adds ``logit0`` and ``logit1``: the bias plus the weights of all tokens of the code.
 
     ``weights`` has (token, w0, w1), any number of rows; rows of one token add up.
-    A NULL code has no tokens. Each different code text is scored once, so copies
-    cost one row, and token counts are combined before the join. Spark broadcasts
-    weights that are small, and splits the partition of a token such as ``(`` that
-    occurs in nearly every snippet.
+    A NULL code has no tokens. Tokens are counted per different code text where the
+    code is read, so code meets no shuffle for it; counts of copies add up, and are
+    divided by the number of copies, which each copy's first token tells. Spark
+    broadcasts weights that are small, and splits the partition of a token such as
+    ``(`` that occurs in nearly every snippet.
     """
     summed = weights.groupBy("token").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
     keyed = snippets.withColumn("code_hash", F.sha2(F.col("code"), 256))
     counts = (
         keyed.select("code_hash", "code")
         .filter(F.col("code_hash").isNotNull())
-        .dropDuplicates(["code_hash"])
-        .select("code_hash", F.explode_outer(text.tokens(F.col("code"))).alias("token"))
+        .select("code_hash", F.posexplode_outer(text.tokens(F.col("code"))).alias("at", "token"))
         .filter(F.col("token").isNotNull())
         .groupBy("code_hash", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    sums = (
-        counts.join(summed, "token")
-        .groupBy("code_hash")
-        .agg(F.sum(F.col("n") * F.col("w0")).alias("s0"), F.sum(F.col("n") * F.col("w1")).alias("s1"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("copies"))
     )
+
+    def total(weight: str) -> Column:
+        """A text without any known token gets NULL, as one without tokens does."""
+        return F.sum(F.col("n") * F.col(weight)) / F.sum("copies")
+
+    # Unknown tokens stay in the join: one of them may be the first.
+    sums = counts.join(summed, "token", "left").groupBy("code_hash").agg(total("w0").alias("s0"), total("w1").alias("s1"))
     return keyed.join(sums, "code_hash", "left").select(
         *snippets.columns,
         (F.coalesce("s0", F.lit(0.0)) + bias[0]).alias("logit0"),

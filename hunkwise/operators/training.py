@@ -81,9 +81,11 @@ def token_weights(labelled: DataFrame, size: int | None = None, scale: int = 102
     )
     used = counts if size is None else most_frequent(counts.withColumn("n", F.col("n0") + F.col("n1")), "n", size)
 
+    terms = F.count(F.lit(1))
+    masses = used.agg(F.struct((F.sum("n0") + terms).alias("n0"), (F.sum("n1") + terms).alias("n1"))).scalar()
+
     def weight(name: str):
-        mass = used.agg(F.sum(name) + F.count(F.lit(1))).scalar()
-        return F.round(F.ln((F.col(name) + 1) / mass) * scale) / scale
+        return F.round(F.ln((F.col(name) + 1) / masses[name]) * scale) / scale
 
     return used.select("token", weight("n0").alias("w0"), weight("n1").alias("w1"))
 
