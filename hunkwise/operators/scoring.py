@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from hunkwise.functions import model, text
 from hunkwise.functions.order import LOWEST_BIN, order_bin
 from hunkwise.operators.diffs import with_snippet_id
+from hunkwise.operators.ranking import with_rank
 from hunkwise.schemas import RESULT_COLUMNS
 
 # Model input length and the id that pads it.
@@ -42,18 +43,21 @@ def most_frequent(counts: DataFrame, n: str, size: int, key: str = "token") -> D
     return tall.orderBy(F.desc(n), key).limit(size)
 
 
-def token_vocabulary(texts: DataFrame, size: int, column: str = "code") -> DataFrame:
-    """The ``size`` most frequent tokens with their ids.
+def token_vocabulary(texts: DataFrame, size: int | None = None, column: str = "code") -> DataFrame:
+    """The tokens with their counts and ids, the most frequent first: all, or the first ``size``.
 
     Counts combine on the map side, so a token that makes up most of the text
-    costs one row per task.
+    costs one row per task. All tokens are ranked in ranges, spread over all tasks.
     """
     counts = (
         texts.select(F.explode(text.tokens(F.col(column))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
+    order = [F.desc("n"), F.asc("token")]
+    if size is None:
+        return with_rank(counts, order).select("token", "n", (F.col("rank") + (FIRST_TERM_ID - 1)).alias("token_id"))
+    rank = F.row_number().over(Window.orderBy(*order))
     return most_frequent(counts, "n", size).withColumn("token_id", rank + (FIRST_TERM_ID - 1))
 
 

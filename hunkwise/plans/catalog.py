@@ -379,23 +379,35 @@ def token_vocab(spark, sf_dir):
     return scoring.token_vocabulary(_snippets(spark, sf_dir), a.VOCABULARY_TERMS)
 
 
-@query(
-    "encode_pad",
-    f"WITH tok AS (SELECT doc_id, t, i FROM (SELECT doc_id, unnest(regexp_extract_all(text, {a.TOKEN_SQL})) AS t, "
-    f"generate_subscripts(regexp_extract_all(text, {a.TOKEN_SQL}), 1) AS i FROM documents)), "
-    f"vocab AS (SELECT t, row_number() OVER (ORDER BY n DESC, t) + 1 AS id FROM (SELECT t, count(*) AS n FROM tok GROUP BY t "
-    f"ORDER BY n DESC, t LIMIT {a.VOCABULARY_TERMS})), "
-    f"ids AS (SELECT doc_id, count(*) AS n, string_agg(coalesce(id, 1), ',' ORDER BY i) FILTER (WHERE i <= {scoring.MAX_LENGTH}) AS ids "
-    "FROM tok LEFT JOIN vocab USING (t) GROUP BY doc_id) "
-    "SELECT doc_id, cast(coalesce(n, 0) AS int) AS n_tokens, concat(coalesce(ids, ''), CASE WHEN n IS NULL THEN substr(repeat(',0', 512), 2) "
-    "ELSE repeat(',0', cast(greatest(512 - n, 0) AS int)) END) AS input_ids, "
-    "substr(concat(repeat(',1', cast(least(coalesce(n, 0), 512) AS int)), repeat(',0', cast(greatest(512 - coalesce(n, 0), 0) AS int))), 2) AS attention_mask "
-    "FROM documents LEFT JOIN ids USING (doc_id)",
+_VOCAB_ALL_SQL = (
+    "SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM ("
+    f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(code, {a.TOKEN_SQL})) AS token FROM a_snippets) GROUP BY token)"
 )
-def encode_pad(spark, sf_dir):
+
+
+@query("token_vocab_all", _VOCAB_ALL_SQL, "a_snippets")
+def token_vocab_all(spark, sf_dir):
+    return scoring.token_vocabulary(_snippets(spark, sf_dir))
+
+
+def _encode_sql(limit: str = "") -> str:
+    """Fixed-length ids of all texts by the vocabulary of all or of the first terms."""
+    return (
+        f"WITH tok AS (SELECT doc_id, t, i FROM (SELECT doc_id, unnest(regexp_extract_all(text, {a.TOKEN_SQL})) AS t, "
+        f"generate_subscripts(regexp_extract_all(text, {a.TOKEN_SQL}), 1) AS i FROM documents)), "
+        f"vocab AS (SELECT t, row_number() OVER (ORDER BY n DESC, t) + 1 AS id FROM (SELECT t, count(*) AS n FROM tok GROUP BY t{limit})), "
+        f"ids AS (SELECT doc_id, count(*) AS n, string_agg(coalesce(id, 1), ',' ORDER BY i) FILTER (WHERE i <= {scoring.MAX_LENGTH}) AS ids "
+        "FROM tok LEFT JOIN vocab USING (t) GROUP BY doc_id) "
+        "SELECT doc_id, cast(coalesce(n, 0) AS int) AS n_tokens, concat(coalesce(ids, ''), CASE WHEN n IS NULL THEN substr(repeat(',0', 512), 2) "
+        "ELSE repeat(',0', cast(greatest(512 - n, 0) AS int)) END) AS input_ids, "
+        "substr(concat(repeat(',1', cast(least(coalesce(n, 0), 512) AS int)), repeat(',0', cast(greatest(512 - coalesce(n, 0), 0) AS int))), 2) AS attention_mask "
+        "FROM documents LEFT JOIN ids USING (doc_id)"
+    )
+
+
+def _encoded(spark, sf_dir, size):
     texts = a.documents(spark, sf_dir).select("doc_id", F.col("text").alias("code"))
-    encoded = scoring.encode(texts, scoring.token_vocabulary(texts, a.VOCABULARY_TERMS))
-    return encoded.select(
+    return scoring.encode(texts, scoring.token_vocabulary(texts, size)).select(
         "doc_id",
         "n_tokens",
         F.array_join("input_ids", ",").alias("input_ids"),
@@ -403,6 +415,16 @@ def encode_pad(spark, sf_dir):
     )
 
 
+@query("encode_pad", _encode_sql(f" ORDER BY n DESC, t LIMIT {a.VOCABULARY_TERMS}"))
+def encode_pad(spark, sf_dir):
+    return _encoded(spark, sf_dir, a.VOCABULARY_TERMS)
+
+
+@query("encode_all", _encode_sql())
+def encode_all(spark, sf_dir):
+    return _encoded(spark, sf_dir, None)
+
+
 def _weights(spark, sf_dir):
     """Of all tokens of the training rows."""
     split = training.with_validation(training.prepare(a.labelled(spark, sf_dir)), "doc_id")

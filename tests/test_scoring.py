@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from hunkwise.functions import model
-from hunkwise.operators import scoring
+from hunkwise.operators import ranking, scoring
 
 CODES = ["int f(int a) { return a; }", "", "the the the", "unknown words", "x = é_1 + 名前", "f(f(f()))", "int f(int a) { return a; }"]
 WEIGHTS = [("int", 0.5, -0.25), ("f", 1.0, 2.0), ("(", 0.125, 0.25), ("the", -1.0, 3.0), ("é_1", 4.0, 0.0), ("名前", 0.0, 8.0)]
@@ -119,6 +120,39 @@ def test_vocabulary_counts_once(spark, tmp_path):
     assert plan.count("ReusedExchange") >= 1
 
 
+def test_vocabulary_of_all_tokens(spark):
+    rng = np.random.default_rng(3)
+    codes = [" ".join(f"t{i}" for i in rng.zipf(1.3, 400).clip(0, 10**6)) for _ in range(20)]
+    # Half of all tokens occur once, so ranges of equal counts span several partitions.
+    codes += [" ".join(f"once{i}x{k}" for k in range(300)) for i in range(8)]
+    counts = Counter(token for code in codes for token in code.split())
+    want = [(t, n, i) for i, (t, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])), scoring.FIRST_TERM_ID)]
+    vocabulary = scoring.token_vocabulary(snippets(spark, codes))
+    assert [tuple(r) for r in vocabulary.orderBy("token_id").collect()] == want
+    assert "Window" not in plan_of(vocabulary)
+    encoded = scoring.encode(snippets(spark, codes), vocabulary, max_length=4).orderBy("start_line").collect()
+    ids = {t: i for t, _, i in want}
+    assert [list(r.input_ids) for r in encoded] == [[ids[t] for t in code.split()[:4]] for code in codes]
+
+
+def test_vocabulary_of_nothing(spark):
+    assert scoring.token_vocabulary(snippets(spark, [])).collect() == []
+    assert scoring.token_vocabulary(snippets(spark, ["", ""])).collect() == []
+
+
+def test_rank_of_hot_counts(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7).alias("n"))
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.with_rank(rows, [F.desc("n"), F.asc("k")])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    assert len({f.rsplit("/", 1)[1].split("-")[1] for f in got.inputFiles()}) > 1
+    want = sorted(((k, 1 if k % 3 == 0 else k % 7) for k in range(50_000)), key=lambda r: (-r[1], r[0]))
+    assert [(r.k, r.n, r.rank) for r in got.orderBy("rank").collect()] == [(k, n, i) for i, (k, n) in enumerate(want, 1)]
+
+
 def loader(bad="BAD"):
     def load():
         def predict(codes):
