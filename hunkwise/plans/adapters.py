@@ -78,14 +78,20 @@ def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_select(events)
 
 
-def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of which every fifth was written a second time, later and with another score."""
+def result_waves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results, and every fifth of them a second time, later and with another score."""
     rows = _result_select(table(spark, sf_dir, "events"), "event_id")
     again = (
         rows.filter(F.col("event_id") % 5 == 0)
         .withColumn("timestamp", F.col("timestamp") + 1)
         .withColumn("confidence", (1 - F.col("confidence").cast("double")).cast("float"))
     )
+    return rows, again
+
+
+def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both writes of the results."""
+    rows, again = result_waves(spark, sf_dir)
     return rows.unionByName(again).drop("event_id")
 
 

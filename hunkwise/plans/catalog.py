@@ -21,7 +21,7 @@ from hunkwise.operators import (
 from hunkwise.plans import adapters as a, flows
 from hunkwise.schemas import RESULT, SNIPPET, SNIPPET_COLUMNS
 from hunkwise.session import run_dir
-from hunkwise.sources import bus, tables
+from hunkwise.sources import bus, compaction, tables
 from hunkwise.streaming import feed, intake, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -616,6 +616,11 @@ _LAST_SQL = (
 )
 
 
+def _errors(spark, sf_dir):
+    errors = a.table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return errors.select(F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"))
+
+
 @query("get_by_id", f"{_LAST_SQL} AND id = 'evt-20'", "a_result_log")
 def get_by_id(spark, sf_dir):
     row = reads.get_by_id(a.result_log(spark, sf_dir), "evt-20")
@@ -624,12 +629,25 @@ def get_by_id(spark, sf_dir):
 
 @query("get_by_ids", f"{_LAST_SQL} AND event_id IN (SELECT event_id FROM events WHERE event_type = 'error')", "a_result_log")
 def get_by_ids(spark, sf_dir):
-    errors = a.table(spark, sf_dir, "events").filter("event_type = 'error'")
-    wanted = errors.select(F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"))
-    rows = reads.get_by_ids(a.result_log(spark, sf_dir), wanted)
+    rows = reads.get_by_ids(a.result_log(spark, sf_dir), _errors(spark, sf_dir))
     return _rounded(rows, 5, "confidence").select("id", "timestamp", "confidence", "label")
 
 
+@query("get_by_ids_compacted", ORACLES["get_by_ids"])
+def get_by_ids_compacted(spark, sf_dir):
+    """The same from a stream's folders that are compacted twice, the newest batch left as it is."""
+    batches, compacted = run_dir(spark, "results"), run_dir(spark, "compacted")
+    rows, again = a.result_waves(spark, sf_dir)
+    odd = F.col("event_id") % 2 == 1
+    for batch_id, wave in enumerate((rows, again.filter(odd), again.filter(~odd))):
+        stored = tables.stored_form(wave, arrival=batch_id)
+        stored.write.partitionBy("day").parquet(f"{batches}/batch_id={batch_id}")
+        compaction.compact(spark, batches, compacted)
+    stored = compaction.read_compacted(spark, batches, compacted)
+    found = reads.get_by_ids(stored, _errors(spark, sf_dir), "arrival")
+    return _rounded(found, 5, "confidence").select("id", "timestamp", "confidence", "label")
+
+
 @query(
     "anomaly_stats",
     "SELECT count(*) AS total_analyzed, count(*) FILTER (WHERE is_anomalous) AS anomalies_found, "

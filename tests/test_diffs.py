@@ -48,11 +48,11 @@ index 1..2 100644
 
 def extract(spark, *texts):
     """(path, start, end, code) of each diff, in order."""
-    rows = [(f"r{i}", "abcdef1234567890", text) for i, text in enumerate(texts)]
+    rows = [(f"r{i}", "9c41d07be25f6a83", text) for i, text in enumerate(texts)]
     df = spark.createDataFrame(rows, "repo string, commit_sha string, diff string")
     out = [[] for _ in texts]
     for row in ops.function_snippets(df, 5).collect():
-        assert row.commit_sha == "abcdef1234567890" and row.timestamp == 5
+        assert row.commit_sha == "9c41d07be25f6a83" and row.timestamp == 5
         out[int(row.repo[1:])].append((row.file_path, row.start_line, row.end_line, row.code))
     return out
 

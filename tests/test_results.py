@@ -10,7 +10,7 @@ from hunkwise.sources import tables
 
 def result(i, **fields):
     row = dict(
-        id=f"anomaly-{i}", repo="o/r", commit_sha="abcdef1234567890", file_path="src/main.c", start_line=1, end_line=4,
+        id=f"anomaly-{i}", repo="o/r", commit_sha="9c41d07be25f6a83", file_path="src/main.c", start_line=1, end_line=4,
         code="int f();", is_anomalous=i % 3 == 0, confidence=i / 200, label="vulnerable" if i % 3 == 0 else "clean",
         latency_ms=float(i), timestamp=i,
     )
@@ -42,7 +42,7 @@ def test_defaults(spark):
     )
     rows = reads.with_defaults(df, 777).collect()
     assert [(r.id, r.timestamp) for r in rows] == [
-        ("anomaly-1", 1), ("anomaly-o/r/abcdef12/a.c#L1", 777), ("anomaly-o/r/ab/src/main.c#L1", 777),
+        ("anomaly-1", 1), ("anomaly-o/r/9c41d07b/a.c#L1", 777), ("anomaly-o/r/ab/src/main.c#L1", 777),
     ]
 
 
