@@ -3,15 +3,14 @@
 Of every ``WINNOW`` consecutive k-grams of a text the one with the smallest hash
 is kept as a fingerprint. Two texts that share a span of K + WINNOW - 1 words
 (= one benchmark window) keep the same fingerprint inside it, so joining the
-fingerprints misses no shared window. Each match fixes a diagonal (document place
-minus item place), along which the shared words are read off the two texts.
+fingerprints misses no shared window. Each match is extended to the windows whose
+smallest hash it is, and these are compared by all their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hunkwise.functions.text import bind
 from hunkwise.llm.common import KEYS, keyed, lower_ascii, materialize
 
 # Contract: words of a window, and the share of hit words (1/20) that contaminates.
@@ -22,6 +21,10 @@ WINNOW = WINDOW - K + 1
 # 64-bit words of the bit set of benchmark fingerprints: 1 MB, whatever the benchmark.
 _BIT_WORDS = 1 << 17
 
+# Hashes of the words of a run.
+R1, R2 = "_run_1", "_run_2"
+RUN = [R1, R2]
+
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -78,10 +81,9 @@ def _bit_set(wanted: DataFrame) -> DataFrame:
 
 
 def wanted_prints(items: DataFrame) -> DataFrame:
-    """(item, item_at, hash) of the fingerprints of the items."""
-    item_prints = winnowed(items, "item").select("item", F.explode_outer("prints").alias("hash"))
-    item_places = _with_grams(items, "item").select("item", F.posexplode_outer("grams").alias("item_at", "hash"))
-    return materialize(item_places.join(item_prints, ["item", "hash"], "left_semi"), "item-fingerprints")
+    """(item, hash) of the fingerprints of the items."""
+    prints = winnowed(items, "item").select("item", F.explode_outer("prints").alias("hash"))
+    return materialize(prints.filter("hash IS NOT NULL").distinct(), "item-fingerprints")
 
 
 def fingerprinted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,19 +105,45 @@ def fingerprinted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(prints.select(*KEYS, "doc_id", "n_words", "prints", text.alias("text")), "document-fingerprints")
 
 
-def matches(printed: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, item, diagonal) of documents and items that share a fingerprint, and the (key, text) of these documents.
+def _run(words_: Column, at: Column, n: Column | int) -> list[Column]:
+    """Two independent 64-bit hashes of the ``n`` words from place ``at`` on; they stand for the words."""
+    run = F.slice(words_, at + 1, n)
+    return [F.xxhash64(F.lit(seed), run).alias(name) for seed, name in ((1, R1), (2, R2))]
+
+
+def _windows(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, at, print, run) of all windows of ``text``: place, fingerprint and hashes of the words."""
+    grams = _with_grams(rows, *columns, "text").select(*columns, "grams", words(F.col("text")).alias("words"))
+
+    def window(at: Column) -> Column:
+        least = F.least(*(F.get("grams", at + k) for k in range(WINNOW)))
+        return F.struct(at.alias("at"), least.alias("print"), *_run(F.col("words"), at, WINDOW))
+
+    n = F.size("grams") - WINNOW + 1
+    every = F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), window))
+    # An outer explode: Spark pushes a test of the input of an inner one below it, and computes that once more.
+    return rows_of(grams.select(*columns, F.explode_outer(every).alias("window")), *columns)
+
+
+def rows_of(exploded: DataFrame, *columns: str) -> DataFrame:
+    return exploded.filter("window IS NOT NULL").select(*columns, "window.*")
+
 
-    Fingerprints are joined without their places; the places are looked up in the
-    texts that have a match.
+def matches(printed: DataFrame, wanted: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (key, at, n, run) of document windows in an item, and (n, run, item) of the items' windows.
+
+    Documents and items that share a fingerprint are found first, without places. In the
+    texts of these documents each fingerprint is then extended to the windows it stands for,
+    which hit if an item's window has the same fingerprint and the same words. A place of a
+    document thus meets each different window once, however often both texts repeat it.
     """
     shared = printed.select(*KEYS, F.explode("prints").alias("hash")).join(wanted.select("hash").distinct(), "hash", "left_semi")
     shared = materialize(shared.select(*KEYS).distinct(), "documents-with-matches")
     touched = materialize(printed.filter("text IS NOT NULL").select(*KEYS, "text").join(shared, KEYS, "left_semi"), "matched-texts")
-    # An inner explode would push a test of its input below, and compute that once more for every word.
-    places = _with_grams(touched, *KEYS).select(*KEYS, F.posexplode_outer("grams").alias("at", "hash"))
-    found = places.join(wanted, "hash").select(*KEYS, "item", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    return found, touched
+    n = F.lit(WINDOW).alias("n")
+    in_items = materialize(_windows(items, "item").select(n, "print", *RUN, "item").distinct(), "item-windows")
+    hits = _windows(touched, *KEYS).join(in_items.select("print", *RUN).distinct(), ["print", *RUN], "left_semi")
+    return hits.select(*KEYS, "at", n, *RUN), in_items.drop("print")
 
 
 def short_matches(rows: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,28 +153,30 @@ def short_matches(rows: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
     of their lengths. The set of those lengths has at most WINDOW - 1 numbers;
     without short items nothing is looked up.
     """
-    brief = items.filter(F.size("words") < WINDOW).select("item", F.size("words").alias("n"), F.xxhash64("words").alias("hash"))
+    brief = items.filter(F.size("words") < WINDOW).select(
+        F.size("words").alias("n"), *_run(F.col("words"), F.lit(0), F.size("words")), "item"
+    )
     brief = materialize(brief, "short-items")
     lengths = brief.agg(F.array_sort(F.collect_set("n"))).scalar()
     texts = rows.filter(F.size(lengths) > 0).select(*KEYS, words(F.col("text")).alias("words"))
     runs = texts.select(*KEYS, "words", F.explode(lengths).alias("n"))
-    last = F.size("words") - F.col("n") + 1
-    hashes = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("words", i, F.col("n")))))
-    hashed = runs.select(*KEYS, "n", F.posexplode_outer(hashes).alias("at", "hash"))
-    whole = hashed.join(brief, ["n", "hash"]).select(*KEYS, "item", F.col("at").alias("diagonal"))
-    whole = materialize(whole, "short-matches")
-    return whole, rows.select(*KEYS, "text").join(whole.select(*KEYS).distinct(), KEYS, "left_semi")
-
-
-def _hit(document: Column, item: Column, diagonal: Column) -> Column:
-    """Document places inside the windows that the two texts share along ``diagonal``."""
-    size = F.least(F.size(item), F.lit(WINDOW))
-    same = F.transform(item, lambda word, j: F.coalesce(F.get(document, F.greatest(diagonal + j, F.lit(-1))) == word, F.lit(False)))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(item) - size),
-        lambda j: ~F.array_contains(F.slice(same, j + 1, size), False),
-    )
-    return F.flatten(F.transform(starts, lambda j: F.sequence(diagonal + j, diagonal + j + size - 1)))
+    last = F.size("words") - F.col("n")
+
+    def run(at: Column) -> Column:
+        return F.struct(at.alias("at"), *_run(F.col("words"), at, F.col("n")))
+
+    every = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run))
+    hashed = rows_of(runs.select(*KEYS, "n", F.explode_outer(every).alias("window")), *KEYS, "n")
+    hits = hashed.join(brief.select("n", *RUN).distinct(), ["n", *RUN], "left_semi")
+    return hits.select(*KEYS, "at", "n", *RUN), brief
+
+
+def _covered(hits: DataFrame) -> DataFrame:
+    """(key, n_hit): places inside any hit, by the ends of the hits that start before; no list of places is built."""
+    spans = hits.groupBy(*KEYS, "at").agg((F.col("at") + F.max("n")).alias("end"))
+    before = Window.partitionBy(*KEYS).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.col("end") - F.greatest("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    return spans.withColumn("fresh", F.greatest(fresh, F.lit(0))).groupBy(*KEYS).agg(F.sum("fresh").alias("n_hit"))
 
 
 def check(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -164,25 +194,13 @@ def check(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(items.filter(F.size("words") > 0), "benchmark-items")
     wanted = wanted_prints(items)
     printed = fingerprinted(rows, wanted)
-    found, texts = matches(printed, wanted)
-    whole, more_texts = short_matches(rows.filter(F.col("text").isNotNull()), items)
-    found = materialize(found.unionByName(whole).distinct(), "matches")
-    shared = found.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
-    gathered = shared.groupBy(*KEYS).agg(F.collect_list(F.struct("item_id", "item_words", "diagonal")).alias("shared"))
-
-    def read_off(document: Column) -> Column:
-        pairs = F.transform(
-            "shared",
-            lambda s: F.struct(s["item_id"].alias("item_id"), _hit(document, s["item_words"], s["diagonal"]).alias("places")),
-        )
-        return F.filter(pairs, lambda s: F.size(s["places"]) > 0)
-
-    read = texts.unionByName(more_texts).join(gathered, KEYS).select(*KEYS, bind(words(F.col("text")), read_off).alias("hits"))
-    hits = read.dropDuplicates(KEYS).select(
-        *KEYS,
-        F.size(F.array_distinct(F.flatten("hits.places"))).cast("bigint").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.array_compact("hits.item_id"))).alias("items"),
-    )
+    hits, in_items = matches(printed, wanted, items)
+    short_hits, short_items = short_matches(rows.filter(F.col("text").isNotNull()), items)
+    hits = materialize(hits.unionByName(short_hits).distinct(), "hits")
+    in_items = in_items.unionByName(short_items).join(items.select("item", "item_id"), "item")
+    named = hits.select(*KEYS, "n", *RUN).distinct().join(in_items, ["n", *RUN]).select(*KEYS, "item_id").distinct()
+    listed = named.groupBy(*KEYS).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hits = _covered(hits).join(listed, KEYS, "left")
     counted = printed.select(*KEYS, "doc_id", F.col("n_words").cast("bigint").alias("n_words")).join(hits, KEYS, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return counted.select(

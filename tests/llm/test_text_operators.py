@@ -80,6 +80,20 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_decontamination_of_repeats_and_whole_copies(spark):
+    """Texts that repeat themselves, and one that holds every item: sizes that no list of all place pairs would survive."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(300)] + [(900, "same " * 3000), (901, "a b " * 900), (902, "same same")]
+    whole = " ".join(text for _, text in items[:300])
+    rows = [(1, "same " * 100_000), (2, "a b " * 40_000), (3, whole), (4, whole), (4, whole), (5, "a b c " * 500), (6, "other " + "same " * 14)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in decontaminate.check(docs, benchmark).collect())
+    assert got == [
+        (1, 100_000, 100_000, 2, True), (2, 80_000, 80_000, 1, True), (3, 60_000, 60_000, 300, True), (4, 60_000, 60_000, 300, True),
+        (4, 60_000, 60_000, 300, True), (5, 1500, 0, 0, False), (6, 15, 14, 2, True),
+    ]
+
+
 def test_decontamination(spark):
     rows = awkward()
     shared = next(t for i, t, *_ in rows if i == 6)
