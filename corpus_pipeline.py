@@ -66,7 +66,9 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that are left."""
-    return bpe.digests(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS))
+    # Written in between: a task then has one Python worker, and decoding does not depend on what encoded.
+    encoded = materialize(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), "encoded")
+    return bpe.digests(bpe.decode(encoded, RANKS))
 
 
 STAGES = [
