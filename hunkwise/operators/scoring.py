@@ -21,6 +21,7 @@ from hunkwise.functions.order import LOWEST_BIN, order_bin
 from hunkwise.operators.diffs import with_snippet_id
 from hunkwise.operators.ranking import with_rank
 from hunkwise.schemas import RESULT_COLUMNS
+from hunkwise.session import run_dir
 
 # Model input length and the id that pads it.
 MAX_LENGTH = 512
@@ -28,6 +29,9 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_TERM_ID = 2
 
+# Tokens that are looked up in a broadcast, about 20 MB; nine of ten occurrences in prose are of these.
+FREQUENT_TOKENS = 1 << 17
+
 
 def most_frequent(counts: DataFrame, n: str, size: int, key: str = "token") -> DataFrame:
     """The ``size`` rows with the highest ``n``, ties by ``key``.
@@ -43,17 +47,40 @@ def most_frequent(counts: DataFrame, n: str, size: int, key: str = "token") -> D
     return tall.orderBy(F.desc(n), key).limit(size)
 
 
-def token_vocabulary(texts: DataFrame, size: int | None = None, column: str = "code") -> DataFrame:
-    """The tokens with their counts and ids, the most frequent first: all, or the first ``size``.
+def frequent_tokens(counts: DataFrame, most: int) -> DataFrame:
+    """(token, n) of tokens that occur more often than all others, at most ``most`` rows.
 
-    Counts combine on the map side, so a token that makes up most of the text
-    costs one row per task. All tokens are ranked in ranges, spread over all tasks.
+    A floor from the histogram of ``n``, without a sort; tokens that tie at the floor
+    all stay or all go. Meant for a broadcast: which tokens it holds decides how much
+    is shuffled and no result.
     """
-    counts = (
+    bins = counts.groupBy(order_bin(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    reached = F.sum("rows").over(Window.orderBy(F.desc("bin")))
+    floor = bins.withColumn("reached", reached).filter(F.col("reached") <= most).agg(F.min("bin")).scalar()
+    return counts.filter(order_bin(F.col("n")) >= floor)
+
+
+def token_counts(texts: DataFrame, column: str = "code") -> DataFrame:
+    """(token, n) of all tokens, combined on the map side."""
+    return (
         texts.select(F.explode(text.tokens(F.col(column))).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def text_key(value: Column) -> Column:
+    """The first 16 bytes of the SHA-256 of a text, a key that is short in a shuffle."""
+    return F.substring(F.unhex(F.sha2(value, 256)), 1, 16)
+
+
+def token_vocabulary(texts: DataFrame, size: int | None = None, column: str = "code") -> DataFrame:
+    """The tokens with their counts and ids, the most frequent first: all, or the first ``size``.
+
+    Counts combine on the map side, so a token that makes up most of the text
+    costs one row per task. All tokens are ranked in ranges, spread over all tasks.
+    """
+    counts = token_counts(texts, column)
     order = [F.desc("n"), F.asc("token")]
     if size is None:
         return with_rank(counts, order).select("token", "n", (F.col("rank") + (FIRST_TERM_ID - 1)).alias("token_id"))
@@ -94,30 +121,53 @@ def linear_logits(
     """Adds ``logit0`` and ``logit1``: the bias plus the weights of all tokens of the code.
 
     ``weights`` has (token, w0, w1), any number of rows; rows of one token add up.
-    A NULL code has no tokens. Tokens are counted per different code text where the
-    code is read, so code meets no shuffle for it; counts of copies add up, and are
-    divided by the number of copies, which each copy's first token tells. Spark
-    broadcasts weights that are small, and splits the partition of a token such as
-    ``(`` that occurs in nearly every snippet.
+    A NULL code has no tokens. Tokens meet the weights of the most frequent ones
+    where the code is read, by a broadcast of ``FREQUENT_TOKENS`` rows at most; these
+    are found by a job that runs first and keeps them in the shared folder. So a
+    code text goes into the shuffle as one row of sums and one for each different rare
+    token, under a short key, and only these rows meet the rest of the weights. Copies
+    of a text add up and are divided by their number, which each copy's first token tells.
     """
     summed = weights.groupBy("token").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
-    keyed = snippets.withColumn("code_hash", F.sha2(F.col("code"), 256))
-    counts = (
-        keyed.select("code_hash", "code")
-        .filter(F.col("code_hash").isNotNull())
-        .select("code_hash", F.posexplode_outer(text.tokens(F.col("code"))).alias("at", "token"))
+    path = run_dir(snippets.sparkSession, "frequent")
+    frequent_tokens(token_counts(snippets), FREQUENT_TOKENS).select("token").write.parquet(path)
+    frequent = (
+        snippets.sparkSession.read.schema("token string").parquet(path)
+        .join(summed, "token", "left")
+        .select(F.col("token").alias("frequent"), F.col("w0").alias("f0"), F.col("w1").alias("f1"))
+    )
+    keyed = snippets.withColumn("code_key", text_key(F.col("code")))
+    placed = (
+        keyed.select("code_key", "code")
+        .filter(F.col("code_key").isNotNull())
+        .select("code_key", F.posexplode_outer(text.tokens(F.col("code"))).alias("at", "token"))
         .filter(F.col("token").isNotNull())
-        .groupBy("code_hash", "token")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("copies"))
     )
+    counts = (
+        placed.join(F.broadcast(frequent), F.col("token") == F.col("frequent"), "left")
+        .groupBy("code_key", F.when(F.col("frequent").isNull(), F.col("token")).alias("rare"))
+        .agg(
+            F.sum("f0").alias("f0"),
+            F.sum("f1").alias("f1"),
+            F.count(F.when(F.col("frequent").isNull(), 1)).alias("n"),
+            F.count_if(F.col("at") == 0).alias("copies"),
+        )
+    )
+    # Rows without a rare token meet no weight; NULL would send them all to one task.
+    spread = F.concat(F.lit(" "), F.xxhash64("code_key").cast("string"))
+    to_look_up = counts.withColumn("token", F.coalesce("rare", spread)).drop("rare")
 
-    def total(weight: str) -> Column:
-        """A text without any known token gets NULL, as one without tokens does."""
-        return F.sum(F.col("n") * F.col(weight)) / F.sum("copies")
+    def total(frequent_sum: str, weight: str) -> Column:
+        rare_sum = F.when(F.col("n") > 0, F.col("n") * F.col(weight))
+        return F.sum(F.coalesce(frequent_sum, F.lit(0.0)) + F.coalesce(rare_sum, F.lit(0.0))) / F.sum("copies")
 
     # Unknown tokens stay in the join: one of them may be the first.
-    sums = counts.join(summed, "token", "left").groupBy("code_hash").agg(total("w0").alias("s0"), total("w1").alias("s1"))
-    return keyed.join(sums, "code_hash", "left").select(
+    sums = (
+        to_look_up.join(summed, "token", "left")
+        .groupBy("code_key")
+        .agg(total("f0", "w0").alias("s0"), total("f1", "w1").alias("s1"))
+    )
+    return keyed.join(sums, "code_key", "left").select(
         *snippets.columns,
         (F.coalesce("s0", F.lit(0.0)) + bias[0]).alias("logit0"),
         (F.coalesce("s1", F.lit(0.0)) + bias[1]).alias("logit1"),

@@ -71,6 +71,41 @@ def test_empty_weights(spark):
     assert set(logits(scoring.linear_logits(snippets(spark), weights(spark, [])))) == {(0.0, 0.0)}
 
 
+def test_frequent_tokens_tie_together(spark):
+    df = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1), ("e", 1), ("f", 1)], "token string, n bigint")
+    got = [sorted(r.token for r in scoring.frequent_tokens(df, most).collect()) for most in (0, 1, 2, 3, 5, 6, 100)]
+    assert got == [[], ["a"], ["a"], ["a", "b", "c"], ["a", "b", "c"], [*"abcdef"], [*"abcdef"]]
+    assert scoring.frequent_tokens(df.limit(0), 5).collect() == []
+
+
+MIXED = [*CODES, None, "rare1 rare2 f rare1", "f", "zz zz", "f f f f f f ( ( ( ("]
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 1 << 17])
+def test_frequent_and_rare_tokens_add_up(spark, monkeypatch, most):
+    monkeypatch.setattr(scoring, "FREQUENT_TOKENS", most, raising=False)
+    rows = [*WEIGHTS, ("rare1", 16.0, 32.0), ("rare1", 64.0, 128.0), (" 1", 1.0, 1.0), ("zz", None, 7.0), (None, 5.0, 5.0)]
+    hits = {t: (sum(a or 0 for k, a, _ in rows if k == t), sum(b for k, _, b in rows if k == t)) for t, *_ in rows if t}
+    want = [tuple(sum(hits.get(t, (0.0, 0.0))[i] for t in words(code or "")) for i in (0, 1)) for code in MIXED]
+    assert logits(scoring.linear_logits(snippets(spark, MIXED), weights(spark, rows))) == want
+
+
+def no_broadcast_by_size(spark, run):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_frequent_tokens_meet_their_weights_before_a_shuffle(spark):
+    plan = no_broadcast_by_size(spark, lambda: plan_of(scoring.linear_logits(snippets(spark), weights(spark)))).split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan
+    # 16 bytes identify a text in the shuffles, not 64 digits.
+    assert re.search(r"code_key#\d+", plan) and "code_hash" not in plan
+
+
 def test_labels(spark):
     rows = [(0.0, 0.0), (0.0, 1e-3), (1e-3, 0.0), (-1000.0, 1000.0), (1000.0, -1000.0), (710.0, 709.0), (0.0, 1e-12)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, logit0 double, logit1 double")
