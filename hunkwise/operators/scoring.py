@@ -93,23 +93,34 @@ def encode(texts: DataFrame, vocabulary: DataFrame, column: str = "code", max_le
 
     A fixed input length is part of the model contract; ``n_tokens`` is the
     length of the whole text, 0 for a NULL one. The vocabulary is joined, whatever
-    its size; each different text is looked up once.
+    its size; each different text is looked up once. The lowest ids, those of the most
+    frequent tokens, are broadcast and looked up where a text's tokens are; only the
+    other tokens pass a shuffle to the vocabulary and back.
     """
     found = text.tokens(F.col(column))
-    keyed = texts.withColumn("code_hash", F.sha2(F.col(column), 256))
-    distinct = keyed.filter(F.col("code_hash").isNotNull()).dropDuplicates(["code_hash"])
-    placed = distinct.select("code_hash", F.posexplode_outer(F.slice(found, 1, max_length)).alias("at", "token"))
-    ids = (
-        placed.filter(F.col("token").isNotNull())
-        .join(vocabulary.select("token", "token_id"), "token", "left")
-        .groupBy("code_hash")
-        .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))))["id"].alias("ids"))
-    )
+    keyed = texts.withColumns({"code_key": text_key(F.col(column)), "_n": F.coalesce(F.size(found), F.lit(0))})
+    distinct = keyed.filter(F.col("code_key").isNotNull()).select("code_key", F.col(column).alias("code")).dropDuplicates(["code_key"])
+    first = F.slice(text.tokens(F.col("code")), 1, max_length)
+    placed = distinct.select("code_key", F.posexplode_outer(first).alias("at", "token")).filter(F.col("token").isNotNull())
+    low = F.coalesce(F.col("token_id").between(0, FIRST_TERM_ID + FREQUENT_TOKENS - 1), F.lit(False))
+    # Out of a generator: what holds for the ids is not carried over to the tokens of the texts.
+    entries = vocabulary.select("token", F.explode(F.array("token_id")).alias("token_id"))
+    frequent = F.broadcast(entries.filter(low))
+    id_at = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("code_key").agg(F.collect_list(id_at).alias(name))
+
+    near = gathered(placed.join(frequent, "token"), "near")
+    rare = placed.join(frequent, "token", "left_anti").join(entries.filter(~low), "token", "left")
+    both = F.when(F.col("far").isNull(), F.col("near")).when(F.col("near").isNull(), F.col("far")).otherwise(F.concat("near", "far"))
+    joined = keyed.join(near, "code_key", "left").join(gathered(rare, "far"), "code_key", "left")
+    ids = joined.withColumn("ids", F.array_sort(both)["id"])
     used = F.coalesce(F.size("ids"), F.lit(0))
     gap = F.lit(max_length) - used
-    return keyed.join(ids, "code_hash", "left").select(
+    return ids.select(
         *texts.columns,
-        F.coalesce(F.size(found), F.lit(0)).alias("n_tokens"),
+        F.col("_n").alias("n_tokens"),
         F.concat(F.coalesce("ids", F.array().cast("array<int>")), F.array_repeat(F.lit(PAD_ID), gap)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
     )

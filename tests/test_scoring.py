@@ -133,6 +133,25 @@ def test_vocabulary_and_encoding(spark):
     assert [r.n_tokens for r in rows] == [3, 5, 0, 600]
 
 
+@pytest.mark.parametrize("most", [0, 2, 1 << 17])
+def test_encoding_of_frequent_and_rare_tokens(spark, monkeypatch, most):
+    monkeypatch.setattr(scoring, "FREQUENT_TOKENS", most, raising=False)
+    df = snippets(spark, ["b a a", "b a a", None, "a b c ( (", "zz yy", "", "c zz a b"])
+    vocabulary = spark.createDataFrame([("a", 2), ("(", 3), ("b", 4), ("c", 5)], "token string, token_id int")
+    rows = scoring.encode(df, vocabulary, max_length=4).orderBy("start_line").collect()
+    assert [list(r.input_ids) for r in rows] == [
+        [4, 2, 2, 0], [4, 2, 2, 0], [0] * 4, [2, 4, 5, 3], [1, 1, 0, 0], [0] * 4, [5, 1, 2, 4],
+    ]
+    assert [r.n_tokens for r in rows] == [3, 3, 0, 5, 2, 0, 4]
+
+
+def test_frequent_tokens_are_encoded_before_a_shuffle(spark):
+    vocabulary = spark.createDataFrame([("a", 2), ("(", 3)], "token string, token_id int")
+    out = scoring.encode(snippets(spark), vocabulary).select("start_line", "n_tokens", "input_ids")
+    plan = no_broadcast_by_size(spark, lambda: plan_of(out)).split("Initial Plan")[0]
+    assert plan.count("BroadcastHashJoin") >= 2 and "code_hash" not in plan
+
+
 def test_undefined_score_is_clean(spark):
     df = spark.createDataFrame([(float("nan"), 1.0), (float("inf"), float("inf"))], "logit0 double, logit1 double")
     assert [r.label for r in scoring.with_label(df).collect()] == ["clean", "clean"]
