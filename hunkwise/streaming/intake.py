@@ -77,16 +77,19 @@ class _Part(NamedTuple):
 _LOG = "batch bigint, announced_to bigint, offered_to bigint, needed boolean, watermark bigint"
 
 
-def _met(announced: DataFrame, offered: DataFrame, wait: int) -> DataFrame:
+def _met(announced: DataFrame, offered: DataFrame, wait: int, path: str) -> DataFrame:
     """Snippets of announcements that lie at most ``wait`` apart.
 
     The announcements meet the keys of the files first, so code passes one join, with the announced files only.
+    These are stored in ``path``: Spark then knows their size and broadcasts a few instead of shuffling all code.
     """
     asked = enrich._announced(announced).select(
         *enrich.COMMIT_KEY, enrich._WANTED, F.col("file_path").alias("a_file_path"), F.col("timestamp").alias("a_timestamp")
     )
     files = enrich._offered(offered.select(enrich.FILE_KEY).distinct()).join(asked, [*enrich.COMMIT_KEY, enrich._WANTED])
     found = files.select(*(F.col(c).alias(f"a_{c}") for c in enrich.COMMIT_KEY), F.col("file_path").alias("f_file_path"), "a_file_path", "a_timestamp")
+    found.write.mode("overwrite").parquet(path)
+    found = found.sparkSession.read.schema(found.schema).parquet(path)
     # A snippet without a path is still one of its commit.
     same = [*(F.col(c) == F.col(f"a_{c}") for c in enrich.COMMIT_KEY), F.col("file_path").eqNullSafe(F.col("f_file_path"))]
     near = F.abs(F.col("timestamp") - F.col("a_timestamp")) <= wait
@@ -183,9 +186,9 @@ def write_enriched(
         met = unmet = spark.createDataFrame([], SNIPPET)
         since = late - wait_ms
         if own in asking and offering:
-            met = met.unionByName(_met(waiting([own], True), waiting(offering, False, since), wait_ms))
+            met = met.unionByName(_met(waiting([own], True), waiting(offering, False, since), wait_ms, f"{checkpoint}/waiting/found/new"))
         if own in offering and asking != [own] and asking:
-            met = met.unionByName(_met(waiting([p for p in asking if p != own], True, since), waiting([own], False), wait_ms))
+            met = met.unionByName(_met(waiting([p for p in asking if p != own], True, since), waiting([own], False), wait_ms, f"{checkpoint}/waiting/found/old"))
         if watermark > late and asking:
             expired = waiting(asking, True, since).filter(F.col("timestamp") < watermark - wait_ms)
             unmet = _unmet(expired, waiting(offering, False, since - wait_ms), wait_ms)

@@ -3,6 +3,7 @@ import os
 from test_intake import MINUTE, START, Pair, snippet
 
 from hunkwise.schemas import SNIPPET
+from hunkwise.session import run_dir
 from hunkwise.streaming import intake
 
 
@@ -63,5 +64,5 @@ def test_the_wait_is_kept_to_the_millisecond(spark):
     offered = spark.createDataFrame([snippet("a.c", 60 * MINUTE, "in"), snippet("b.c", 60 * MINUTE + 1, "out")], SNIPPET)
     wait = intake._millis(spark, "60 minutes")
     assert wait == 60 * MINUTE
-    assert [(r.code, r.timestamp - START) for r in intake._met(announced, offered, wait).collect()] == [("in", 0)]
+    assert [(r.code, r.timestamp - START) for r in intake._met(announced, offered, wait, run_dir(spark, "found")).collect()] == [("in", 0)]
     assert [r.file_path for r in intake._unmet(announced, offered, wait).collect()] == ["b.c"]
