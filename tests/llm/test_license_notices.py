@@ -72,3 +72,40 @@ def test_no_place_of_a_notice_loses_it(spark, tmp_path):
     found = {r.doc_id: r.labels for r in catalog.op6_licenses(spark, str(tmp_path)).collect()}
     assert [i for i in range(len(texts)) if found[i] != "bsd"] == []
     assert [found[len(texts) + i] for i in range(len(none))] == ["", ""]
+
+
+def test_all_blocks_are_compared_with_all_templates(spark, tmp_path):
+    """Notices under ten words too, and blocks without a telling phrase; what gives a label stays as the phrases say."""
+    r = random.Random(11)
+    words = vocabulary(60) + sorted({w for _, t in licenses.ALL_TEMPLATES for w in t.split()})
+    texts = [
+        "This document is released under the license of the BSD project.", "Licensed under the Open Software License version 2.0",
+        "Licensed under CC BY-NC-SA 4.0", "The license, released under the\nMIT", "redistribution", "", "Licensed under CC BY 4.0",
+    ]
+    for _, template in licenses.ALL_TEMPLATES:
+        for kept in (0.7, 0.8, 0.9, 1.0):
+            some = [w for w in template.split() if r.random() <= kept] + r.choices(words, k=r.randint(0, 12))
+            r.shuffle(some)
+            texts.append("\n".join(textwrap.wrap(" ".join(r.choices(words, k=r.randint(0, 260)) + some + r.choices(words, k=9)), r.choice([30, 9999]))))
+
+    def runs(text):
+        lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()) for line in text.split("\n")]
+        width, whole = licenses.window_width(licenses.ALL_TEMPLATES), [w for line in lines for w in line]
+        for of, size in [(whole, width)] * (sum(map(bool, lines)) > 1) + [(line, licenses.BLOCK_WORDS) for line in lines]:
+            yield from (set(of[at : at + size]) for at in range(max(1, len(of) - size + 1)))
+
+    def similar(text):
+        shares = {}
+        for run in runs(text):
+            for label, template in licenses.ALL_TEMPLATES:
+                wanted = set(template.split())
+                if len(wanted & run) >= 0.8 * len(wanted) - 1e-9:
+                    shares[label] = max(shares.get(label, 0), len(wanted & run) / len(wanted))
+        return ",".join(sorted(shares)), max(shares.values(), default=0.0)
+
+    frame(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {x.doc_id: x for x in catalog.op6_licenses(spark, str(tmp_path)).collect()}
+    want = [similar(t) for t in texts]
+    assert [(found[i].similar_labels, found[i].similarity) for i in range(len(texts))] == want
+    assert [found[i].labels for i in range(4)] == ["", "", "", ""] and [w for w, _ in want[:4]] == ["mit", "apache", "cc-by-nc,cc-by-sa", "mit"]
+    assert sum(bool(w) for w, _ in want) > 30
